@@ -20,6 +20,7 @@ def local_session(cores: int = 8, name: str = "vellumflow") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
         .getOrCreate()
