@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellumflow.llm import garbled as garbled_text
 from vellumflow.llm import pieces as split
+from vellumflow.llm import prose
 from vellumflow.llm import tokens
 from vellumflow.plans.registry import Registry
 from vellumflow.session import spread, table
@@ -55,3 +56,17 @@ def p4_results(spark: SparkSession, d: str) -> DataFrame:
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
     return docs.select("doc_id", tokens.token_ids(spark, "text").alias("ids"))
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    return prose.judged(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), table(spark, d, "common_words"))
+
+
+@registry.add("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d).filter("text_class <> 'prose'").select("doc_id", "text_class")
+
+
+@registry.add("p9_statistics")
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d)
