@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumflow.llm import garbled as garbled_text
+from vellumflow.llm import personal
 from vellumflow.llm import pieces as split
 from vellumflow.llm import prose
 from vellumflow.llm import tokens
@@ -70,3 +71,21 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 @registry.add("p9_statistics")
 def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
     return _judged(spark, d)
+
+
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    weights = spark.sparkContext.broadcast(personal.train())
+    texts = personal.spans_of(_extractions(spark, d), "text_extractions", "extraction_id", "text", weights)
+    signers = personal.spans_of(table(spark, d, "signatures"), "signatures", "signature_id", "signer_name", weights)
+    mails = personal.spans_of(table(spark, d, "employee_rows").select("row_id", "email").dropDuplicates(["row_id"]), "employee_rows", "row_id", "email", weights)
+    return texts.unionByName(signers).unionByName(mails)
+
+
+@registry.add("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.occurrences(_spans(spark, d))
+
+
+@registry.add("p5_masked")
+def p5_masked(spark: SparkSession, d: str) -> DataFrame:
+    return personal.masked(_spans(spark, d))
