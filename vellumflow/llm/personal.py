@@ -203,7 +203,7 @@ def _by_row(values: np.ndarray, order: np.ndarray, cuts: np.ndarray) -> np.ndarr
     return np.add.reduceat(values[order], cuts, axis=0)
 
 
-def train(rows: list[tuple[str, list[tuple[int, int, str]], str]] | None = None, epochs: int = 50, rate: float = 0.2, decay: float = 0.02) -> Field:
+def train(rows: list[tuple[str, list[tuple[int, int, str]], str]] | None = None, epochs: int = 60, rate: float = 0.12, decay: float = 0.02) -> Field:
     """Maximum likelihood by scaled forward-backward, all sequences side by side, with Adam.
 
     Emissions go through a table of distinct tokens by window place, so an epoch costs a few

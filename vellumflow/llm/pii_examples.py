@@ -97,7 +97,24 @@ Firmado por [name|{n}] Dear [name|{n}],
 [name|{n}]
 [name|{n}], {co}
 [email|{e}]
+[email|{e}]
+[email|{e}]
+[email|{e}]
+[email|{e}]
 [phone|{p}]
+[address|{a}]
+[address|{a}], {ci}
+[name|{n}]
+Home address: [address|{a}]
+Home address: [address|{a}]
+Vive en [address|{aes}]
+Lieferadresse: [address|{ade}], {ci}
+Lieferadresse: [address|{ade}], {ci}
+Sie wohnt jetzt [address|{ade}] in {ci}
+Dear [name|{n}],
+Contact: [name|{n}]
+[name|{n}] signed the receipt at the gate.
+Prepared by [name|{n}] for the file.
 Email: [email|{e}]
 E-mail: [email|{e}]
 E-Mail: [email|{e}]
