@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumflow.llm import garbled as garbled_text
+from vellumflow.llm import mixing
 from vellumflow.llm import personal
 from vellumflow.llm import pieces as split
 from vellumflow.llm import prose
 from vellumflow.llm import tokens
 from vellumflow.plans.registry import Registry
-from vellumflow.session import spread, table
+from vellumflow.session import checkpointed, spread, table
 
 registry = Registry()
 
@@ -89,3 +90,20 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 @registry.add("p5_masked")
 def p5_masked(spark: SparkSession, d: str) -> DataFrame:
     return personal.masked(_spans(spark, d))
+
+
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mixture_targets").dropDuplicates(["source"]).orderBy("source").toPandas()  # a fixed table
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", "source"), "doc_id")
+    members = mixing.memberships(docs.withColumn("tokens", tokens.token_count(spark, "text")), targets["source"].tolist())
+    return mixing.mixture(checkpointed(members), targets)
+
+
+@registry.add("p8_mixture")
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)
+
+
+@registry.add("p8_shares")
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(_mixed(spark, d), table(spark, d, "mixture_targets"))
