@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -31,13 +32,21 @@ def hashed(value: Column, salt: str) -> Column:
     return F.sha2(F.concat(F.lit(salt), value.cast("string")), 256)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often `use` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _masked_matches(text: Column, pattern: str, keep: int) -> Column:
     """The text with each match masked: what lies between matches, woven with the masked matches."""
-    hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    between = F.split(text, pattern, -1)
-    woven = F.transform(between, lambda part, i: F.concat(part, F.coalesce(masked_string(F.get(hits, i), keep), F.lit(""))))
-    # most texts have no match, and then nothing is woven
-    return F.when(text.rlike(pattern), F.array_join(woven, "")).otherwise(text)
+
+    def woven(t: Column) -> Column:
+        hits = F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1))
+        parts = F.zip_with(F.split(t, pattern, -1), hits, lambda part, hit: F.concat(part, F.coalesce(masked_string(hit, keep), F.lit(""))))
+        # most texts have no match, and then nothing is woven
+        return F.when(t.rlike(pattern), F.array_join(parts, "")).otherwise(t)
+
+    return _let(text, woven)
 
 
 def redacted_text(text: Column, keep_last: int = TEXT_KEEPS) -> Column:
