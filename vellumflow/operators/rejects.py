@@ -180,6 +180,8 @@ def parse_records(lines: DataFrame, files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             part = part[part["column_names"].notna() & part["dialect"].notna()]
+            if part.empty:
+                continue
             parsed = tokenize(part["raw_line"].tolist(), part["dialect"].tolist())
             judged = [judge(f, n, k) for f, n, k in zip(parsed, part["column_names"], part["column_types"], strict=True)]
             yield pd.DataFrame({"line_id": part["line_id"], "file_id": part["file_id"], "line_no": part["line_no"], "reason": [j[0] for j in judged], "is_row": [j[2] for j in judged], "fields": [j[1] for j in judged]})

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vellumflow.functions import text as X
 
@@ -28,7 +29,7 @@ def text_documents(files: DataFrame) -> DataFrame:
     return rows.select("path", "text", F.col("e.encoding").alias("encoding"), F.col("e.confidence").alias("encoding_confidence"), X.line_count(F.col("text")).alias("line_count"), F.length("text").cast("long").alias("char_count"), X.has_bom(F.col("content")).alias("has_bom"), F.lit("plain_text").alias("structure_type"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def sniffed_delimiter(texts: pd.Series) -> pd.Series:
     """Among the four delimiters, from the start of a file; comma where the sniffer is unsure."""
 
