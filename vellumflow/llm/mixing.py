@@ -79,34 +79,52 @@ def memberships(documents: DataFrame, targets: list[str]) -> DataFrame:
     return sure.unionByName(guessed)
 
 
-def _rate(start: Column, posterior: Column, history: list[np.ndarray], cap: Column) -> Column:
-    """The rate after all steps so far, from the residuals of each: no rate needs to be stored."""
-    rate = start
+def rates(posteriors: np.ndarray, history: np.ndarray, caps: np.ndarray) -> np.ndarray:
+    """The rate of each posterior after all steps so far, from the residuals of each step: no rate needs to be stored."""
+    limit = caps[np.minimum(posteriors[:, : len(caps)].argmax(1), len(caps) - 1)]
+    rate = np.zeros(len(posteriors))
     for residual in history:
-        step = sum((F.get(posterior, F.lit(k)) * float(r) for k, r in enumerate(residual)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), F.least(cap, rate - step))
+        rate = np.clip(rate - posteriors[:, : len(residual)] @ residual, 0, limit)
     return rate
 
 
-def fit_rates(groups: DataFrame, shares: np.ndarray, caps: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """(residual of each step, total tokens aimed at) for groups of posterior, tokens."""
+def _totals(groups: DataFrame, history: np.ndarray | None, caps: np.ndarray) -> np.ndarray:
+    """Expected tokens of each target at the rates of a history, or at rate one; summed by partition, then in Spark."""
+    k = len(caps)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros(k)
+        for part in batches:
+            if len(part):
+                p = np.stack(part["posterior"].to_numpy())
+                weight = part["tokens"].to_numpy(float) * (1.0 if history is None else rates(p, history, caps))
+                sums += p[:, :k].T @ weight
+        yield pd.DataFrame({"at": np.arange(k), "n": sums})
+
+    out = np.zeros(k)
+    for r in groups.mapInPandas(partial, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r["at"]] = r["n"]
+    return out
+
+
+def fit_rates(groups: DataFrame, shares: np.ndarray, caps: np.ndarray, steps: int = STEPS, tolerance: float = 1e-6) -> tuple[np.ndarray, float]:
+    """(residual of each step, total tokens aimed at) for groups of posterior, tokens.
+
+    Ends when no target is further than `tolerance` of its size from being met."""
     k = len(shares)
-    totals = lambda col: np.array(list(groups.agg(*[F.coalesce(F.sum(F.get("posterior", F.lit(i)) * F.col("tokens") * col), F.lit(0.0)).alias(f"s{i}") for i in range(k)]).first()), float)
-    capacity = totals(F.lit(1.0))
+    capacity = _totals(groups, None, caps)
     reachable = (capacity > 0) & (shares > 0)
     if not reachable.any():
         return np.zeros((0, k)), 0.0
     wanted = np.where(reachable, shares, 0) / shares[reachable].sum()
     total = float((capacity * caps)[reachable].__truediv__(wanted[reachable]).min())
-    history: list[np.ndarray] = []
-    cap = F.get(F.array(*[F.lit(float(c)) for c in caps]), (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int"))
+    history = np.zeros((0, k))
     for _ in range(steps):
-        reached = totals(_rate(F.lit(0.0), F.col("posterior"), history, cap))
-        residual = np.where(reachable, (reached - total * wanted) / np.maximum(capacity, 1), 0)
-        if np.abs(residual).max() < 1e-9:
+        off = _totals(groups, history, caps) - total * wanted
+        if np.abs(off[reachable] / (total * wanted[reachable])).max() < tolerance:
             break
-        history.append(residual)
-    return np.array(history).reshape(-1, k), total
+        history = np.vstack([history, np.where(reachable, off / np.maximum(capacity, 1), 0)])
+    return history, total
 
 
 def mixture(members: DataFrame, targets: pd.DataFrame) -> DataFrame:
@@ -120,7 +138,13 @@ def mixture(members: DataFrame, targets: pd.DataFrame) -> DataFrame:
     groups = usable.groupBy("posterior").agg(F.sum("tokens").alias("tokens"))
     history, _ = fit_rates(checkpointed(groups), shares, caps)
     cap = F.get(F.array(*[F.lit(float(c)) for c in caps]), F.col("at"))
-    rated = usable.withColumn("rate", _rate(F.lit(0.0), F.col("posterior"), list(history), cap)).withColumn("base", F.floor(F.col("rate") + 1e-9)).withColumn("part", F.greatest(F.lit(0.0), F.col("rate") - F.col("base")))
+
+    def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            own = rates(np.stack(part["posterior"].to_numpy()), history, caps) if len(part) else np.zeros(0)
+            yield pd.DataFrame({"doc_id": part["doc_id"], "tokens": part["tokens"], "at": part["at"], "rate": own})
+
+    rated = usable.mapInPandas(rate, "doc_id long, tokens long, at int, rate double").withColumn("base", F.floor(F.col("rate") + 1e-9)).withColumn("part", F.greatest(F.lit(0.0), F.col("rate") - F.col("base")))
     # prefix sums of tokens in hash order, per source and rate, by buckets so that no source is one task
     spot = F.xxhash64("doc_id", F.lit(20))
     placed = rated.withColumn("group", F.xxhash64("at", F.col("rate").cast("decimal(20,10)"))).withColumn("bucket", F.pmod(spot, F.lit(BUCKETS))).withColumn("spot", spot)
