@@ -32,7 +32,7 @@ def content_type(region_type: Column) -> Column:
 
 def nested(regions: DataFrame, share: float = 0.8) -> DataFrame:
     """Adds parent_region_id: the first (by y0, x0) picture or table that covers `share` of a caption or text."""
-    rank = F.row_number().over(W.partitionBy(*PAGE).orderBy("bbox.y0", "bbox.x0", "pos"))
+    rank = F.row_number().over(W.partitionBy(*PAGE).orderBy("bbox.y0", "bbox.x0", "pos", "region_id"))
     parents = regions.withColumn("rank", rank).filter(F.col("region_type").isin(*PARENTS)).select(*PAGE, F.col("region_id").alias("parent_id"), F.col("bbox").alias("outer_box"), "rank")
     children = regions.filter(F.col("region_type").isin(*NESTABLE))
     covered = B.intersection_area(F.col("bbox"), F.col("outer_box")) >= share * B.area(F.col("bbox"))
@@ -60,7 +60,7 @@ def reading_order(regions: DataFrame) -> DataFrame:
     """Adds layout_type, order_index, skip and order_confidence; regions need page_width."""
     typed = regions.join(layout_types(regions), list(PAGE))
     right = F.when(F.col("layout_type") == "multi", B.x_center(F.col("bbox")) >= F.col("page_width") / 2).otherwise(F.lit(False))
-    order = W.partitionBy(*PAGE).orderBy(right, "bbox.y0", "bbox.x0", "pos")
+    order = W.partitionBy(*PAGE).orderBy(right, "bbox.y0", "bbox.x0", "pos", "region_id")
     return typed.withColumn("order_index", (F.row_number().over(order) - 1).cast("long")).withColumn("skip", F.col("region_type").isin(*SKIPPED)).withColumn("order_confidence", F.when(F.col("layout_type") == "multi", 0.5).otherwise(0.7))
 
 
@@ -79,7 +79,7 @@ def ordered_content(ordered: DataFrame, extracted: DataFrame) -> DataFrame:
 def has_columns(regions: DataFrame, band: int = 50) -> DataFrame:
     """doc_id, is_multi_column: in a band of centres, a text that ends before the next one begins."""
     texts = regions.filter(F.col("region_type").isin("text", "title")).withColumn("band", (B.y_center(F.col("bbox")) / band).cast("int"))
-    following = F.lead("bbox.x0").over(W.partitionBy("doc_id", "band").orderBy("bbox.x0", "pos"))
+    following = F.lead("bbox.x0").over(W.partitionBy("doc_id", "band").orderBy("bbox.x0", "pos", "region_id"))
     return texts.withColumn("apart", F.coalesce(F.col("bbox.x1") < following, F.lit(False))).groupBy("doc_id").agg(F.bool_or("apart").alias("is_multi_column"))
 
 

@@ -171,7 +171,7 @@ def q_region_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 @registry.add(
     "q_region_nesting",
-    f"""WITH {_REGIONS_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, pos) AS r FROM regions),
+    f"""WITH {_REGIONS_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, pos, region_id) AS r FROM regions),
     hits AS (SELECT c.doc_id, c.region_id, arg_min(p.region_id, p.r) AS parent_region_id FROM ranked c JOIN ranked p ON c.doc_id = p.doc_id AND c.page = p.page AND c.region_id <> p.region_id
       WHERE c.region_type IN ('caption', 'text') AND p.region_type IN ('picture', 'table') AND (c.x1 - c.x0) * (c.y1 - c.y0) > 0
       AND greatest(0, least(c.x1, p.x1) - greatest(c.x0, p.x0)) * greatest(0, least(c.y1, p.y1) - greatest(c.y0, p.y0)) >= 0.8 * (c.x1 - c.x0) * (c.y1 - c.y0) GROUP BY 1, 2)
@@ -184,7 +184,7 @@ def q_region_nesting(spark: SparkSession, d: str) -> DataFrame:
 _LAYOUT_SQL = f"""{_REGIONS_SQL}, c AS (SELECT *, region_type NOT IN ('page_header', 'page_footer', 'footnote') AS content, (y0 + y1) / 2 AS yc, (x0 + x1) / 2 AS xc FROM regions),
     g AS (SELECT *, CASE WHEN yc - lag(yc) OVER (PARTITION BY doc_id, page, content ORDER BY yc) > 100 THEN 1 ELSE 0 END AS fresh FROM c),
     lt AS (SELECT doc_id, page, CASE WHEN count(*) >= 2 AND count(*) FILTER (content) > 3 AND max(xc) FILTER (content) - min(xc) FILTER (content) > 400 AND coalesce(sum(fresh) FILTER (content), 0) + 1 > 1 THEN 'multi' ELSE 'single' END AS layout_type FROM g GROUP BY 1, 2),
-    ord AS (SELECT c.*, layout_type, CAST(row_number() OVER (PARTITION BY c.doc_id, c.page ORDER BY CASE WHEN layout_type = 'multi' THEN xc >= 500 ELSE false END, y0, x0, pos) - 1 AS BIGINT) AS order_index, region_type IN ('page_header', 'page_footer', 'footnote') AS skip FROM c JOIN lt USING (doc_id, page))"""
+    ord AS (SELECT c.*, layout_type, CAST(row_number() OVER (PARTITION BY c.doc_id, c.page ORDER BY CASE WHEN layout_type = 'multi' THEN xc >= 500 ELSE false END, y0, x0, pos, region_id) - 1 AS BIGINT) AS order_index, region_type IN ('page_header', 'page_footer', 'footnote') AS skip FROM c JOIN lt USING (doc_id, page))"""
 
 
 @registry.add("q_reading_order", f"WITH {_LAYOUT_SQL} SELECT doc_id, region_id, layout_type, order_index, skip FROM ord")
@@ -209,7 +209,7 @@ def q_ordered_content(spark: SparkSession, d: str) -> DataFrame:
 
 @registry.add(
     "q_document_shape",
-    f"""WITH {_REGIONS_SQL}, m AS (SELECT doc_id, bool_or(apart) AS is_multi_column FROM (SELECT doc_id, coalesce(x1 < lead(x0) OVER (PARTITION BY doc_id, CAST(trunc((y0 + y1) / 2 / 50) AS INTEGER) ORDER BY x0, pos), false) AS apart FROM regions WHERE region_type IN ('text', 'title')) GROUP BY 1),
+    f"""WITH {_REGIONS_SQL}, m AS (SELECT doc_id, bool_or(apart) AS is_multi_column FROM (SELECT doc_id, coalesce(x1 < lead(x0) OVER (PARTITION BY doc_id, CAST(trunc((y0 + y1) / 2 / 50) AS INTEGER) ORDER BY x0, pos, region_id), false) AS apart FROM regions WHERE region_type IN ('text', 'title')) GROUP BY 1),
     s AS (SELECT doc_id, count(*) AS region_count, count(DISTINCT region_type) AS n_types, bool_or(region_type = 'table') AS has_tables, bool_or(region_type = 'picture') AS has_images, CASE WHEN (max(x1) - min(x0)) * (max(y1) - min(y0)) = 0 THEN 0 ELSE sum(CASE WHEN region_type IN ('text', 'list_item', 'section_header') THEN (x1 - x0) * (y1 - y0) ELSE 0 END) / ((max(x1) - min(x0)) * (max(y1) - min(y0))) END AS dens FROM regions GROUP BY 1)
     SELECT doc_id, CAST(region_count AS BIGINT) AS region_count, has_tables, has_images, coalesce(is_multi_column, false) AS is_multi_column, CASE WHEN dens < 0.3 THEN 'sparse' WHEN dens > 0.7 THEN 'dense' ELSE 'normal' END AS text_density, CASE WHEN has_tables OR has_images OR coalesce(is_multi_column, false) THEN 'complex' WHEN n_types > 3 THEN 'moderate' ELSE 'simple' END AS complexity FROM s LEFT JOIN m USING (doc_id)""",
 )
