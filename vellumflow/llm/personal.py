@@ -299,12 +299,15 @@ def sound(kind: str, datum: str) -> bool:
     if not datum[0].isalpha() and datum[0] < "\xa0" or datum[0] == "�":
         return False
     words = re.findall(r"[^\W\d_][^\s,.]*", datum)
-    if len(re.findall("[A-Za-z]", datum)) < 0.5 * len(datum) or any(len(w) > 22 for w in words):
+    if len(re.findall("[A-Za-z]", datum)) < 0.5 * len(datum) or any(len(w) > 16 for w in words):
         return False
     return bool(words) and len(words) <= 5 and any(len(w) > 1 for w in words) and not any(c.isdigit() for c in datum) and not any(w.lower() in _NOT_NAMES for w in words) and not all(w.islower() for w in words)
 
 
 _TITLE = re.compile(rf"(?i)(?:(?:{'|'.join(t for t in _LISTS['title'].split() if t != 'm')})\b\.?|[^\w�]|_)+\s*")
+_GARBLED_GIVEN = re.compile(r"(?:^|(?<=\s))[^\W\d_a-zà-ÿ][^\s,.;:()]*[ÃÂƒ�├┼√≈ÔГвЂ║╝╜][^\s,.;:()]*[ \xa0]$")
+_COMPANY_NEXT = re.compile(rf"(?i)[ ,\n]+(?:&|(?:{'|'.join(re.escape(w) for w in _LISTS['company'].split() if w not in ('co', 'group', 'media', 'office', 'company', 'bank', 'agency', 'sa', 'sons', 'ag'))})\b|media group|office supply)")
+_SENTENCE_BEFORE = re.compile(r"(?<!\bMr)(?<!\bMs)(?<!\bDr)(?<!\bMrs)(?<!\bProf)(?<!\bSr)(?<!\bSra)[.!?…]\s+$")
 _GIVEN = re.compile(r"(?:\b[^\W\d_a-z]\.|\b([^\W\d_a-z][^\W\d_]+))[ \xa0]$")
 _SURNAME = re.compile(r"[ \xa0]([^\W\d_a-zà-ÿ][^\s,.;:()/<>\[\]]+)")
 _NOT_PERSONAL = re.compile(r"(?i)\b(?:order|tracking|container|lot|part|firmware|invoice|isbn|coupon|code|class|model|serial|folder|batch|clause|item|sku|table|centre)(?: (?:no|nr|number|to|with code)\b\.?)?[ :#-]*[A-Z]{0,4}[ -]?$")
@@ -322,6 +325,8 @@ def trimmed(kind: str, text: str, start: int, end: int) -> list[tuple[int, int]]
             if m[1] and m[1].lower() not in _FIRST:
                 break
             start = m.start()
+        if m := _GARBLED_GIVEN.search(text[max(0, start - 24) : start]):
+            start = max(0, start - 24) + m.start()
         if text[end - 1] == "." and (m := _SURNAME.match(text, end)):
             end = m.end()
         parts = text[start:end].split(", ")
@@ -380,7 +385,7 @@ def find(texts: Sequence[str | None], field: Field, context: str = "text_extract
                     k = j + 1
                     while k < size and LABELS[own[k]] == "I-" + label[2:]:
                         k += 1
-                    out[i] += [(s, e, label[2:]) for s, e in trimmed(label[2:], text, tokens[j][0], tokens[k - 1][1]) if sound(label[2:], text[s:e]) and not (label == "B-name" and context == "text_extractions" and _place_like(text, s, e)) and not (label in ("B-phone", "B-id_number") and _NOT_PERSONAL.search(text, max(0, s - 26), s))]
+                    out[i] += [(s, e, label[2:]) for s, e in trimmed(label[2:], text, tokens[j][0], tokens[k - 1][1]) if sound(label[2:], text[s:e]) and not (label == "B-name" and (_place_like(text, s, e) if context == "text_extractions" else _COMPANY_NEXT.match(text, e))) and not (label in ("B-phone", "B-id_number") and _NOT_PERSONAL.search(text, max(0, s - 26), s))]
                     j = k
                 else:
                     j += 1
@@ -403,6 +408,10 @@ def _place_like(text: str, start: int, end: int) -> bool:
     datum = text[start:end]
     if re.match(r"(?:À|Ã€|ГЂ|├Ç|√Ä|Ç|Ã)[ \xa0]", datum) or re.search(r"(?:À|Ã€|ГЂ|├Ç|├|√Ä|Ã|�)[ \xa0]?$", text[max(0, start - 3) : start]):
         return True
+    if _COMPANY_NEXT.match(text, end) or text[end : end + 1].isdigit():
+        return True
+    if " " not in datum and _SENTENCE_BEFORE.search(text[max(0, start - 12) : start]) and not text.startswith(" signed", end):
+        return True
     line = text[text.rfind("\n", 0, start) + 1 : start]
     return " " not in datum and not line.strip() and not text.startswith(" signed", end)
 
@@ -411,6 +420,9 @@ def _joined(text: str | None, spans: list[tuple[int, int, str]]) -> list[tuple[i
     """The halves of one name as one span: `LAST, First` and a given name or initial with its surname."""
     out: list[tuple[int, int, str]] = []
     for span in spans:
+        if out and span[0] < out[-1][1]:  # a span that was widened over the one before
+            out[-1] = (min(out[-1][0], span[0]), max(out[-1][1], span[1]), span[2])
+            continue
         if out and out[-1][2] == span[2] == "name":
             gap, first = text[out[-1][1] : span[0]], text[out[-1][0] : out[-1][1]]
             last = text[span[0] : span[1]]
