@@ -149,3 +149,18 @@ def test_salted_lookup_keeps_every_row(spark):
     rows = spark.range(1000).select(F.col("id"), F.lit(1).alias("k"))
     joined = salted_lookup(rows, spark.createDataFrame([(1, "x")], "k int, v string"), "k", "id")
     assert joined.count() == 1000 and joined.filter("v = 'x'").count() == 1000
+
+
+def test_results(spark):
+    from vellumflow.operators import results
+
+    r = regions(spark, [("picture", 0, 0, 9, 9), ("text", 1, 1, 2, 2)]).withColumn("parent_region_id", F.when(F.col("region_id") == "r1", "r0"))
+    images = spark.createDataFrame([(1, "r1", b"x")], "doc_id long, region_id string, image binary")
+    ocr = spark.createDataFrame([(1, "r1", "hello")], "doc_id long, region_id string, ocr_text string")
+    inputs, failures = results.region_inputs(r, images, ocr)
+    assert [(x["parent_type"], x["ocr_text"]) for x in inputs.collect()] == [("picture", "hello")] and failures.first()["region_id"] == "r0"
+    old = spark.createDataFrame([("a", "running", 1), ("b", "running", 1)], "job_id string, state string, updated_at long")
+    new = spark.createDataFrame([("a", "completed", 2), ("b", None, 2), ("c", "queued", 1)], old.schema)
+    assert {tuple(x) for x in results.upserted(old, new).collect()} == {("a", "completed", 2), ("c", "queued", 1)}
+    row = spark.range(1).select(results.id_list(F.array(F.lit(" a "), F.lit(""), F.lit(None))), results.formula(F.lit(" x "), F.create_map(F.lit("a"), F.lit(" 1 "), F.lit(" "), F.lit("y"))), results.challenges(F.array(F.lit("Tables"), F.lit("?"), F.lit("table")), {"tables": "table"})).first()
+    assert row[0] == ["a"] and row[1]["latex"] == "x" and row[1]["variables"] == {"a": "1"} and row[2] == ["table"]

@@ -96,7 +96,7 @@ def form_fields(fields):  # noqa: ANN001, ANN201
 
 def signature_row(df: DataFrame) -> DataFrame:
     """Signature readings with trimmed texts, defaults and lists without blanks."""
-    clean = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), F.trim), lambda x: x.isNotNull() & (x != ""))
+    clean = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
     out = df
     for c in ("signer_name", "signer_title", "date_signed", "location", "stamp_text", "notes"):
         out = out.withColumn(c, V.blank_to_null(F.col(c)))

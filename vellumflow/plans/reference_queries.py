@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vellumflow.functions import boxes as B
 from vellumflow.functions import formats, privacy, text, values
-from vellumflow.operators import chunk_merge, layout, providers, quality, render
+from vellumflow.operators import chunk_merge, layout, providers, quality, render, results
 from vellumflow.plans.registry import Registry
 from vellumflow.session import spread, table
 from vellumflow.sources import workbook
@@ -330,3 +330,33 @@ def q_rule_extraction(spark: SparkSession, d: str) -> DataFrame:
     """Label rules over all documents, refined once, the best pass of each."""
     docs = spread(table(spark, d, "documents").select("doc_id", "text").filter(F.col("text").isNotNull()), "doc_id")
     return quality.best_pass(providers.refine(docs, ["rules", "rules"], ["Vendor"], ["Region", "Terms"])).select("doc_id", "iteration", "status", "data")
+
+
+# ---- results ------------------------------------------------------------------------------
+@registry.add("q_passed_checks", f"WITH {_REPORT_SQL}, lc AS (SELECT doc_id, count(*) FILTER (confidence < 0.5) AS low FROM f GROUP BY 1) SELECT doc_id, concat_ws(',', CASE WHEN c = 0 THEN 'required_fields' END, CASE WHEN required_coverage >= 0.9 THEN 'required_coverage' END, CASE WHEN overall >= 0.7 THEN 'confidence' END, CASE WHEN low = 0 THEN 'field_confidence' END, CASE WHEN consistency >= 0.5 THEN 'consistency' END) AS passed FROM rep JOIN lc USING (doc_id)")
+def q_passed_checks(spark: SparkSession, d: str) -> DataFrame:
+    return quality.report(_fields(spark, d)).select("doc_id", F.array_join(results.passed_checks(), ",").alias("passed"))
+
+
+@registry.add("q_issue_feedback", f"WITH {_FIELDS_SQL}, {_ISSUES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY list_position(['critical', 'high', 'medium', 'low'], severity), CASE issue_type WHEN 'missing_required' THEN 1 WHEN 'low_confidence' THEN 2 ELSE 3 END, field_path) AS place FROM i) SELECT doc_id, string_agg('[' || upper(severity) || '] ' || field_path || ': ' || issue_type, chr(10) ORDER BY place) AS feedback FROM r WHERE place <= 10 GROUP BY 1")
+def q_issue_feedback(spark: SparkSession, d: str) -> DataFrame:
+    return results.feedback(quality.issues(_fields(spark, d))).select("doc_id", "feedback")
+
+
+@registry.add("q_attachments", f"WITH {_REGIONS_SQL} SELECT doc_id, region_id, region_type FROM regions WHERE region_type IN ('table', 'picture') UNION ALL SELECT o_orderkey, 'fallback_full_image', 'picture' FROM orders WHERE o_orderkey NOT IN (SELECT doc_id FROM regions)")
+def q_attachments(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    return results.attachments(_regions(spark, d), docs).select("doc_id", "region_id", "region_type")
+
+
+@registry.add("q_job_upsert", "WITH u AS (SELECT user_id AS job_id, nullif(event_type, 'view') AS state, ts AS updated_at, event_id FROM events) SELECT job_id, state, updated_at FROM u QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY updated_at DESC, state IS NULL DESC, state DESC) = 1 AND state IS NOT NULL")
+def q_job_upsert(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.nullif("event_type", F.lit("view")).alias("state"), F.col("ts").alias("updated_at"))
+    return results.upserted(e.filter("job_id < 0"), e)
+
+
+@registry.add("q_result_records")
+def q_result_records(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(table(spark, d, "documents").select("doc_id", "text").filter(F.col("text").isNotNull()), "doc_id")
+    extracted = providers.extract(docs, ["Vendor", "Region"])
+    return results.result_records(quality.report(providers.field_rows(extracted, ["Vendor"], ["Region"])), extracted)
