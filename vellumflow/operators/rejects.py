@@ -157,14 +157,15 @@ def _is_blank(raw: Column) -> Column:
 def file_dialects(lines: DataFrame, files: DataFrame) -> DataFrame:
     """One row a file: file_id, dialect (its delimiter).
 
-    Every line votes for the delimiters under which it has as many fields as column_names;
-    votes are summed map-side before the shuffle. Ties keep the stated delimiter, then the
-    order of `DELIMITERS`."""
-    wanted = files.select("file_id", F.size("column_names").alias("_n"), F.col("delimiter").alias("_said"))
+    Every line votes for the delimiters under which it has as many fields as column_names. Lines
+    are first counted map-side by file and field counts, so only those few rows a file are
+    shuffled. Ties keep the stated delimiter, then the order of `DELIMITERS`."""
     bare = F.regexp_replace("raw_line", '"[^"]*"', "")
-    votes = [F.sum((F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit(""))) + 1 == F.col("_n")).cast("long")).alias(f"_v{i}") for i, d in enumerate(DELIMITERS)]
-    named = salted_lookup(lines.select("file_id", "line_id", "raw_line"), wanted, "file_id", "line_id")
-    tallied = named.groupBy("file_id").agg(*votes, F.first("_said").alias("_said"))
+    sizes = [(F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit(""))) + 1).alias(f"_n{i}") for i, d in enumerate(DELIMITERS)]
+    counted = lines.select("file_id", *sizes).groupBy("file_id", *[f"_n{i}" for i in range(len(DELIMITERS))]).agg(F.count("*").alias("_c"))
+    wanted = files.select("file_id", F.size("column_names").alias("_n"), F.col("delimiter").alias("_said"))
+    votes = [F.sum(F.when(F.col(f"_n{i}") == F.col("_n"), F.col("_c")).otherwise(0)).alias(f"_v{i}") for i in range(len(DELIMITERS))]
+    tallied = counted.join(wanted, "file_id").groupBy("file_id").agg(*votes, F.first("_said").alias("_said"))
     best = F.array_max(F.array(*[F.struct(F.coalesce(F.col(f"_v{i}"), F.lit(0)).alias("n"), F.coalesce((F.col("_said") == d).cast("int"), F.lit(0)).alias("said"), F.lit(-i).alias("pos"), F.lit(d).alias("d")) for i, d in enumerate(DELIMITERS)]))
     return tallied.select("file_id", best["d"].alias("dialect"))
 

@@ -44,12 +44,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def salted_lookup(rows: DataFrame, lookup: DataFrame, key: str, by: str, salts: int = SALTS) -> DataFrame:
     """Left join of rows to one lookup row per key, the key's rows spread over `salts` tasks.
 
-    `by` names a high-cardinality column of rows. The lookup side is repeated per salt, not
-    broadcast, since it grows with the data; Spark may still broadcast it by its real size.
+    `by` names a high-cardinality column of rows. The lookup side is repeated per salt and never
+    broadcast, since it grows with the data and its copies hide its size from the optimizer.
     """
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [key, "_salt"], "left").drop("_salt")
+    return left.join(right.hint("shuffle_hash"), [key, "_salt"], "left").drop("_salt")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
