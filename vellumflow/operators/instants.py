@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellumflow.session import checkpointed
+
 #: Prior weight of a day-month order that the reading rule excludes.
 AGAINST_RULE = 1e-9
 #: A posterior below this leaves the value marked as ambiguous.
@@ -234,6 +236,7 @@ def normalise(rows: DataFrame) -> DataFrame:
     status: 'ok', 'ambiguous' (posterior below SURE), 'against_rule' (only readings that the rule
     excludes) or 'unusable'; micros is the chosen UTC instant in microseconds, null if unusable."""
     parsed = rows.withColumn("_c", _parse("value", "zone")).select("*", F.col("_c.layouts").alias("layouts"), F.col("_c.micros").alias("all_micros")).drop("_c")
+    parsed = checkpointed(parsed)  # parsed once, though counted, joined and paired
     counted = parsed.groupBy("source", "locale", "layouts").agg(F.count("*").alias("n"))
     chosen = counted.groupBy("source", "locale").applyInPandas(_choose, "source string, locale string, layouts string, pick int, layout string, posterior double, by_rule boolean")
     # at most sources x locales x patterns rows, so its size doesn't follow the data
