@@ -46,3 +46,14 @@ def test_gradient_meets_targets_with_soft_members(spark):
 def test_empty(spark):
     docs = documents(spark).limit(0)
     assert M.mixture(M.memberships(docs, TARGETS["source"].tolist()), TARGETS).count() == 0
+
+
+def test_junk_does_not_reach_a_target_without_documents(spark):
+    noise = spark.range(3000, 3003).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(150)), lambda i: F.translate(F.sha2(F.concat_ws("-", i, "id"), 256), "0123456789", "ghijklmnop")), " ").alias("text"), F.lit(None).cast("string").alias("source"), F.lit(40).cast("long").alias("tokens"), F.lit("x").alias("label"))
+    empty = spark.createDataFrame([(4000, "", "gone", 0, "x")], "doc_id long, text string, source string, tokens long, label string")
+    members = M.memberships(documents(spark).unionByName(noise).unionByName(empty), TARGETS["source"].tolist())
+    assert members.filter("doc_id >= 3000 AND doc_id < 4000 AND posterior[2] > 0").count() == 0
+    used = M.mixture(members, TARGETS)
+    got = {r["source"]: r for r in M.shares(used, spark.createDataFrame(TARGETS)).collect()}
+    assert got["gone"]["tokens"] == 0 and got["a"]["tokens"] > 15000
+    assert abs(got["a"]["actual_share"] - 0.625) < 0.005 and abs(got["b"]["actual_share"] - 0.375) < 0.005

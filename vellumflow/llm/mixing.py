@@ -10,7 +10,8 @@ documents are put in hash order, and those within the fractional part's share of
 used once more, so a source misses its target by less than one document.
 
 The mixture is as large as the caps allow while all reachable targets hold. A target without
-documents can't be reached; its share goes to the others in proportion and is reported as 0. A
+documents of its own that have tokens is no class of the classifier and can't be reached; its
+share goes to the others in proportion and is reported as 0. A
 document without a source is used only if one posterior is at least `MIN_MEMBERSHIP`. Sources
 without a target, and documents without tokens (null and empty texts), aren't used.
 """
@@ -44,16 +45,18 @@ def _word_features(text: Column) -> Column:
     return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(FEATURES)).cast("int"))
 
 
-def _log_odds(labelled: DataFrame, sources: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(log prior by source, log likelihood by source and feature): counts of all labelled documents, a bounded table."""
-    at = {s: i for i, s in enumerate(sources)}
-    prior = np.ones(len(sources))
-    for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect():
-        prior[at[r["label"]]] += r["n"]
-    like = np.full((len(sources), FEATURES), 0.5)
-    for r in labelled.select("label", F.explode("features").alias("f")).groupBy("label", "f").agg(F.count("*").alias("n")).collect():
+def _log_odds(labelled: DataFrame, sources: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """(places in sources of the classes, log prior by class, log likelihood by class and feature): counts of all labelled documents, a bounded table.
+
+    Only a source whose own documents have tokens is a class: the likelihood of an untrained one is flat and wins on noise."""
+    found = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n"), F.max("tokens").alias("most")).filter("most > 0").collect()}
+    classes = [i for i, s in enumerate(sources) if s in found]
+    at = {sources[i]: c for c, i in enumerate(classes)}
+    prior = np.array([1.0 + found[s] for s in at])
+    like = np.full((len(classes), FEATURES), 0.5)
+    for r in labelled.filter(F.col("label").isin(list(at))).select("label", F.explode("features").alias("f")).groupBy("label", "f").agg(F.count("*").alias("n")).collect():
         like[at[r["label"]], r["f"]] += r["n"]
-    return np.log(prior / prior.sum()), np.log(like / like.sum(1, keepdims=True))
+    return classes, np.log(prior / prior.sum()), np.log(like / like.sum(1, keepdims=True))
 
 
 def memberships(documents: DataFrame, targets: list[str]) -> DataFrame:
@@ -62,15 +65,18 @@ def memberships(documents: DataFrame, targets: list[str]) -> DataFrame:
     known = F.col("_source")
     label = F.when(known.isin(targets), known).when(known.isNotNull(), F.lit(OTHER))
     named = documents.withColumn("_source", plain_source(F.col("source"))).withColumn("label", label).withColumn("features", _word_features(F.col("text"))).select("doc_id", "tokens", "label", "features")
-    prior, like = _log_odds(named.filter("label IS NOT NULL"), sources)
+    classes, prior, like = _log_odds(named.filter("label IS NOT NULL"), sources)
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             rows = []
             for features in part["features"]:
-                scores = prior + (like[:, features].sum(1) / max(1, len(features)) * min(len(features), 20) if len(features) else 0)
-                p = np.exp(scores - scores.max())
-                rows.append((p / p.sum()).round(4).tolist())
+                posterior = np.zeros(len(sources))
+                if classes:
+                    scores = prior + (like[:, features].sum(1) / max(1, len(features)) * min(len(features), 20) if len(features) else 0)
+                    p = np.exp(scores - scores.max())
+                    posterior[classes] = (p / p.sum()).round(4)
+                rows.append(posterior.tolist())
             yield pd.DataFrame({"doc_id": part["doc_id"], "tokens": part["tokens"], "posterior": rows})
 
     one_hot = F.array(*[F.when(F.col("label") == s, 1.0).otherwise(0.0) for s in sources])
