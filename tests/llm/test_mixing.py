@@ -57,3 +57,17 @@ def test_junk_does_not_reach_a_target_without_documents(spark):
     got = {r["source"]: r for r in M.shares(used, spark.createDataFrame(TARGETS)).collect()}
     assert got["gone"]["tokens"] == 0 and got["a"]["tokens"] > 15000
     assert abs(got["a"]["actual_share"] - 0.625) < 0.005 and abs(got["b"]["actual_share"] - 0.375) < 0.005
+
+
+def test_documents_of_several_sources_are_used_by_their_posteriors(spark):
+    own = [(i, 20 + i % 13, [1.0, 0.0, 0.0, 0.0] if i % 2 else [0.0, 1.0, 0.0, 0.0]) for i in range(400)]
+    soft = [(i, 20 + i % 17, [0.3, 0.35, 0.0, 0.35] if i % 2 else [0.45, 0.1, 0.0, 0.45]) for i in range(400, 1000)]
+    members = spark.createDataFrame(own + soft, "doc_id long, tokens long, posterior array<double>")
+    used = {r["doc_id"]: r for r in M.mixture(members, TARGETS).collect()}
+    assert sum(i >= 400 for i in used) > 100
+    assert all(r["repeats"] <= {"a": 1, "b": 3}[r["source"]] for r in used.values())
+    a, b = (sum(r["posterior"][s] * r["tokens"] * r["repeats"] for r in used.values()) for s in ("a", "b"))
+    assert abs(a - (a + b) * 0.625) < 40
+    assert a > sum(t for _, t, p in own if p[0]) * 1.3  # soft members add to what a source can give
+    got = {r["source"]: r for r in M.shares(M.mixture(members, TARGETS), spark.createDataFrame(TARGETS)).collect()}
+    assert abs(got["a"]["tokens"] - a) <= 1 and abs(got["b"]["tokens"] - b) <= 1 and got["gone"]["tokens"] == 0

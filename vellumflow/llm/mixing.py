@@ -5,20 +5,22 @@ spelling of a known one, else what a naive Bayes classifier says, whose counts c
 documents with a source. Rates (how often a document is used) minimise the squared distance of
 each source's expected tokens from its target by projected gradient: a step needs the sources'
 totals only, which Spark sums over documents grouped by posterior, and the projection keeps a
-rate between 0 and the cap of its source. Rates then become whole numbers: within a source the
-documents are put in hash order, and those within the fractional part's share of the tokens are
-used once more, so a source misses its target by less than one document.
+rate between 0 and the cap of its likeliest target. Rates then become whole numbers. A document that
+belongs to several sources is used once more if its hash is below the fractional part. The
+documents of one source alone take what these leave of the source's target: they are put in hash
+order, and those within the fractional part's share of the tokens are used once more, so a
+source's expected tokens miss its target by less than one document.
 
 The mixture is as large as the caps allow while all reachable targets hold. A target without
 documents of its own that have tokens is no class of the classifier and can't be reached; its
-share goes to the others in proportion and is reported as 0. A
-document without a source is used only if one posterior is at least `MIN_MEMBERSHIP`. Sources
-without a target, and documents without tokens (null and empty texts), aren't used.
+share goes to the others in proportion and is reported as 0. A document without a source counts for
+each target by its posterior, however small. Sources without a target, and documents without tokens
+(null and empty texts), aren't used.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,7 +30,6 @@ from pyspark.sql import functions as F
 
 from vellumflow.session import checkpointed
 
-MIN_MEMBERSHIP = 0.5
 STEPS = 40
 FEATURES = 2048
 BUCKETS = 1024
@@ -48,8 +49,8 @@ def _word_features(text: Column) -> Column:
 def _log_odds(labelled: DataFrame, sources: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
     """(places in sources of the classes, log prior by class, log likelihood by class and feature): counts of all labelled documents, a bounded table.
 
-    Only a source whose own documents have tokens is a class: the likelihood of an untrained one is flat and wins on noise."""
-    found = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n"), F.max("tokens").alias("most")).filter("most > 0").collect()}
+    Only a source whose own documents have text and so tokens is a class: the likelihood of an untrained one is flat and wins on noise."""
+    found = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n"), F.max("filled").alias("filled")).filter("filled").collect()}
     classes = [i for i, s in enumerate(sources) if s in found]
     at = {sources[i]: c for c, i in enumerate(classes)}
     prior = np.array([1.0 + found[s] for s in at])
@@ -64,7 +65,7 @@ def memberships(documents: DataFrame, targets: list[str]) -> DataFrame:
     sources = [*targets, OTHER]
     known = F.col("_source")
     label = F.when(known.isin(targets), known).when(known.isNotNull(), F.lit(OTHER))
-    named = documents.withColumn("_source", plain_source(F.col("source"))).withColumn("label", label).withColumn("features", _word_features(F.col("text"))).select("doc_id", "tokens", "label", "features")
+    named = documents.withColumn("_source", plain_source(F.col("source"))).withColumn("label", label).withColumn("features", _word_features(F.col("text"))).withColumn("filled", F.coalesce(F.length("text") > 0, F.lit(False))).select("doc_id", "tokens", "label", "features", "filled")
     classes, prior, like = _log_odds(named.filter("label IS NOT NULL"), sources)
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,25 +86,29 @@ def memberships(documents: DataFrame, targets: list[str]) -> DataFrame:
     return sure.unionByName(guessed)
 
 
+def limits(posteriors: np.ndarray, caps: np.ndarray) -> np.ndarray:
+    """The cap of each posterior's likeliest target."""
+    return caps[posteriors[:, : len(caps)].argmax(1)]
+
+
 def rates(posteriors: np.ndarray, history: np.ndarray, caps: np.ndarray) -> np.ndarray:
     """The rate of each posterior after all steps so far, from the residuals of each step: no rate needs to be stored."""
-    limit = caps[np.minimum(posteriors[:, : len(caps)].argmax(1), len(caps) - 1)]
+    limit = limits(posteriors, caps)
     rate = np.zeros(len(posteriors))
     for residual in history:
         rate = np.clip(rate - posteriors[:, : len(residual)] @ residual, 0, limit)
     return rate
 
 
-def _totals(groups: DataFrame, history: np.ndarray | None, caps: np.ndarray) -> np.ndarray:
-    """Expected tokens of each target at the rates of a history, or at rate one; summed by partition, then in Spark."""
-    k = len(caps)
+def _totals(groups: DataFrame, rate: Callable[[np.ndarray], np.ndarray], k: int) -> np.ndarray:
+    """Expected tokens of each target at the rates of the posteriors; summed by partition, then in Spark."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros(k)
         for part in batches:
             if len(part):
                 p = np.stack(part["posterior"].to_numpy())
-                weight = part["tokens"].to_numpy(float) * (1.0 if history is None else rates(p, history, caps))
+                weight = part["tokens"].to_numpy(float) * rate(p)
                 sums += p[:, :k].T @ weight
         yield pd.DataFrame({"at": np.arange(k), "n": sums})
 
@@ -118,15 +123,16 @@ def fit_rates(groups: DataFrame, shares: np.ndarray, caps: np.ndarray, steps: in
 
     Ends when no target is further than `tolerance` of its size from being met."""
     k = len(shares)
-    capacity = _totals(groups, None, caps)
+    capacity = _totals(groups, lambda p: np.ones(len(p)), k)
+    most = _totals(groups, lambda p: limits(p, caps), k)
     reachable = (capacity > 0) & (shares > 0)
     if not reachable.any():
         return np.zeros((0, k)), 0.0
     wanted = np.where(reachable, shares, 0) / shares[reachable].sum()
-    total = float((capacity * caps)[reachable].__truediv__(wanted[reachable]).min())
+    total = float((most[reachable] / wanted[reachable]).min())
     history = np.zeros((0, k))
     for _ in range(steps):
-        off = _totals(groups, history, caps) - total * wanted
+        off = _totals(groups, lambda p, h=history: rates(p, h, caps), k) - total * wanted
         if np.abs(off[reachable] / (total * wanted[reachable])).max() < tolerance:
             break
         history = np.vstack([history, np.where(reachable, off / np.maximum(capacity, 1), 0)])
@@ -134,38 +140,63 @@ def fit_rates(groups: DataFrame, shares: np.ndarray, caps: np.ndarray, steps: in
 
 
 def mixture(members: DataFrame, targets: pd.DataFrame) -> DataFrame:
-    """doc_id, source, tokens, repeats of the documents used at least once.
+    """doc_id, source (the likeliest target), tokens, repeats, posterior (by target) of the documents used at least once.
 
     members: doc_id, tokens, posterior; targets: source, target_share, max_repeats (a fixed table)."""
     names, shares, caps = targets["source"].tolist(), targets["target_share"].to_numpy(float), targets["max_repeats"].to_numpy(float)
     k = len(names)
-    usable = members.filter((F.col("tokens") > 0) & (F.array_max("posterior") >= MIN_MEMBERSHIP) & (F.array_position("posterior", F.array_max("posterior")) <= k))
-    usable = checkpointed(usable.withColumn("at", (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int")))
+    ours = F.slice("posterior", 1, k)
+    usable = checkpointed(members.filter((F.col("tokens") > 0) & (F.array_max(ours) > 0)).withColumn("at", (F.array_position(ours, F.array_max(ours)) - 1).cast("int")))
     groups = usable.groupBy("posterior").agg(F.sum("tokens").alias("tokens"))
-    history, _ = fit_rates(checkpointed(groups), shares, caps)
-    cap = F.get(F.array(*[F.lit(float(c)) for c in caps]), F.col("at"))
+    history, total = fit_rates(checkpointed(groups), shares, caps)
+    by_target = lambda values: F.get(F.array(*[F.lit(float(v)) for v in values]), F.col("at"))
+    alone = F.array_max("posterior") == 1
 
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             own = rates(np.stack(part["posterior"].to_numpy()), history, caps) if len(part) else np.zeros(0)
-            yield pd.DataFrame({"doc_id": part["doc_id"], "tokens": part["tokens"], "at": part["at"], "rate": own})
+            yield part.assign(rate=own)
 
-    rated = usable.mapInPandas(rate, "doc_id long, tokens long, at int, rate double").withColumn("base", F.floor(F.col("rate") + 1e-9)).withColumn("part", F.greatest(F.lit(0.0), F.col("rate") - F.col("base")))
-    # prefix sums of tokens in hash order, per source and rate, by buckets so that no source is one task
     spot = F.xxhash64("doc_id", F.lit(20))
-    placed = rated.withColumn("group", F.xxhash64("at", F.col("rate").cast("decimal(20,10)"))).withColumn("bucket", F.pmod(spot, F.lit(BUCKETS))).withColumn("spot", spot)
-    sums = placed.groupBy("at", "group", "bucket").agg(F.sum("tokens").alias("_b"))
-    before = sums.withColumn("before", F.sum("_b").over(W.partitionBy("at", "group").orderBy("bucket")) - F.col("_b")).withColumn("all", F.sum("_b").over(W.partitionBy("at", "group")))
-    inner = placed.withColumn("_in", F.sum("tokens").over(W.partitionBy("at", "group", "bucket").orderBy("spot", "doc_id")))
-    joined = inner.join(before.drop("_b"), ["at", "group", "bucket"])
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(1 << 20)) / (1 << 20)
+    several = usable.filter(~alone).mapInPandas(rate, "doc_id long, tokens long, posterior array<double>, at int, rate double")
+    several = several.withColumn("base", F.floor(F.col("rate") + 1e-9)).withColumn("repeats", F.least(by_target(caps), F.col("base") + F.when(draw < F.col("rate") - F.col("base") - 1e-9, 1).otherwise(0)).cast("long"))
+    several = checkpointed(several.select("doc_id", "tokens", "posterior", "at", "repeats").filter("repeats > 0"))
+
+    # what documents of several sources give to each target; those of one source bring it to its share
+    given, own = np.zeros(k), np.zeros(k)
+    sums = several.agg(*[F.sum(F.col("posterior")[j] * F.col("tokens") * F.col("repeats")).alias(f"s{j}") for j in range(k)]).first()
+    given[:] = [sums[j] or 0 for j in range(k)]
+    for r in usable.filter(alone).groupBy("at").agg(F.sum("tokens").alias("n")).collect():
+        own[r["at"]] = r["n"]
+    reachable = (own > 0) & (shares > 0)
+    wanted = np.where((own + given > 0) & (shares > 0), shares, 0)
+    wanted = wanted / max(wanted.sum(), 1e-300)
+    if reachable.any():
+        total = min(total, float(((given + own * caps)[reachable] / wanted[reachable]).min()))
+    last = np.where(reachable, np.clip((total * wanted - given) / np.maximum(own, 1), 0, caps), 0)
+
+    # prefix sums of tokens in hash order, per source, by buckets so that no source is one task
+    placed = usable.filter(alone).withColumn("rate", by_target(last)).withColumn("base", F.floor(F.col("rate") + 1e-9)).withColumn("part", F.greatest(F.lit(0.0), F.col("rate") - F.col("base"))).withColumn("bucket", F.pmod(spot, F.lit(BUCKETS))).withColumn("spot", spot)
+    sums = placed.groupBy("at", "bucket").agg(F.sum("tokens").alias("_b"))
+    before = sums.withColumn("before", F.sum("_b").over(W.partitionBy("at").orderBy("bucket")) - F.col("_b")).withColumn("all", F.sum("_b").over(W.partitionBy("at")))
+    inner = placed.withColumn("_in", F.sum("tokens").over(W.partitionBy("at", "bucket").orderBy("spot", "doc_id")))
+    joined = inner.join(before.drop("_b"), ["at", "bucket"])
     middle = F.col("before") + F.col("_in") - F.col("tokens") / 2
-    repeats = F.least(cap, F.col("base") + F.when(middle <= F.col("part") * F.col("all"), 1).otherwise(0)).cast("long")
-    return joined.select("doc_id", F.get(F.array(*[F.lit(n) for n in names]), F.col("at")).alias("source"), "tokens", repeats.alias("repeats")).filter("repeats > 0")
+    repeats = F.least(by_target(caps), F.col("base") + F.when(middle <= F.col("part") * F.col("all"), 1).otherwise(0)).cast("long")
+    used = joined.select("doc_id", "tokens", "posterior", "at", repeats.alias("repeats")).filter("repeats > 0").unionByName(several)
+    return used.select("doc_id", F.get(F.array(*[F.lit(n) for n in names]), F.col("at")).alias("source"), "tokens", "repeats", F.map_from_arrays(F.array(*[F.lit(n) for n in names]), ours).alias("posterior"))
 
 
 def shares(used: DataFrame, targets: DataFrame) -> DataFrame:
-    """source, target_share, actual_share, tokens, n_documents, most_repeats, max_repeats, of every target."""
-    by_source = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("n_documents"), F.max("repeats").alias("most_repeats"))
-    joined = targets.join(by_source, "source", "left").na.fill(0, ["tokens", "n_documents", "most_repeats"])
-    total = F.sum("tokens").over(W.partitionBy())  # as many rows as targets
-    return joined.select("source", "target_share", F.coalesce(F.try_divide(F.col("tokens"), total), F.lit(0.0)).alias("actual_share"), "tokens", "n_documents", "most_repeats", "max_repeats")
+    """source, target_share, actual_share, tokens, n_documents, most_repeats, max_repeats, likeliest_share, of every target.
+
+    actual_share and tokens are expected ones: a document's tokens count for each target by its posterior. What falls
+    to sources without a target counts for none. The other figures count a document for its likeliest target alone."""
+    names = [r["source"] for r in targets.select("source").distinct().collect()]  # a fixed table
+    used = used.withColumn("_t", F.col("tokens") * F.col("repeats"))
+    by_source = used.groupBy("source").agg(F.sum("_t").alias("_likeliest"), F.count("*").alias("n_documents"), F.max("repeats").alias("most_repeats"))
+    expected = used.agg(*[F.sum(F.col("posterior")[n] * F.col("_t")).alias(f"s{j}") for j, n in enumerate(names)]).select(F.inline(F.array(*[F.struct(F.lit(n).alias("source"), F.round(f"s{j}").cast("long").alias("tokens")) for j, n in enumerate(names)])))
+    joined = targets.join(expected, "source", "left").join(by_source, "source", "left").na.fill(0, ["tokens", "_likeliest", "n_documents", "most_repeats"])
+    share = lambda c: F.coalesce(F.try_divide(F.col(c), F.sum(c).over(W.partitionBy())), F.lit(0.0))  # noqa: E731  # as many rows as targets
+    return joined.select("source", "target_share", share("tokens").alias("actual_share"), "tokens", "n_documents", "most_repeats", "max_repeats", share("_likeliest").alias("likeliest_share"))

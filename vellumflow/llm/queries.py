@@ -101,7 +101,7 @@ def _mixed(spark: SparkSession, d: str) -> DataFrame:
 
 @registry.add("p8_mixture")
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return _mixed(spark, d)
+    return _mixed(spark, d).drop("posterior")
 
 
 @registry.add("p8_shares")
