@@ -53,3 +53,10 @@ def test_table(spark):
     assert got[100] == "list" and got[101] == "table" and got[102] == "junk" and got[0] == "prose" and got[106] == "prose"
     assert not {103, 104, 105} & set(got)
     assert P.judged(docs.limit(0), common).count() == 0
+
+
+def test_language_is_read_off_the_whole_text():
+    latin, japanese = "The report was sent to the office in the morning. " * 90, "先月、倉庫から報告書が届きました。" * 600
+    statistics = P.Statistics({"en": {"the", "was", "to", "in"}})
+    assert len(latin) > 4000 and statistics.of(latin + japanese)[0] == statistics.of(japanese + latin)[0] == "cjk"
+    assert statistics.of(japanese[:900] + latin * 4)[0] != "cjk"

@@ -111,7 +111,7 @@ class Statistics:
             return "none", 0.0
         shares = {lang: sum(w in own for w in words) / len(words) for lang, own in self.common.items()}
         lang, share = max(shares.items(), key=lambda x: x[1], default=("none", 0.0))
-        if len(_CJK.findall(text[:4000])) > 0.2 * min(len(text), 4000):
+        if len(_CJK.findall(text)) > 0.2 * len(text):
             return "cjk", 0.3
         if share >= 0.2:
             return lang, share
