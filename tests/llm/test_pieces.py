@@ -55,3 +55,14 @@ def test_chunk_columns(spark):
 def test_options_are_checked():
     with pytest.raises(ValueError):
         P.PieceOptions(limit=300, overlap=200, slack=100)
+
+
+def test_window_without_a_boundary_is_widened(spark):
+    pick = random.Random(7)
+    texts = {0: "x" * 75 + " " + "x" * 300, 1: "x" * 35 + " " + "x" * 94 + " " + "x" * 300} | {i: "".join(pick.choice("xy") * pick.randint(1, 90) + pick.choice([" ", ". ", "\n\n", ""]) for _ in range(30)) for i in range(2, 80)}
+    df = spark.createDataFrame(list(texts.items()), "extraction_id long, text string")
+    one = P.PieceOptions(**{**SMALL.__dict__, "range_chars": 100_000})
+    rows, whole = (sorted(P.pieces(P.ranges_of_texts(df, "extraction_id", "text", o), o).collect()) for o in (SMALL, one))
+    check(rows, texts, SMALL)
+    assert rows == whole  # however the text is cut into ranges
+    assert [r["end"] for r in rows if r["item"] in (0, 1)][0] == 76 and [r["end"] for r in rows if r["item"] == 1][0] == 36

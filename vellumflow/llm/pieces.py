@@ -6,7 +6,10 @@ range table give each range its place. Then each range, with a halo of the chara
 finds the boundaries around the places where cuts fall due: cut k falls into the `slack`
 characters up to k * `stride`, so cuts need no order of work and two cuts are never more than
 `stride` + `slack` apart. The best boundary there wins (paragraph, line, sentence, word end; the
-last of equals), else the text is cut at k * stride. Cuts of all ranges, stitched by their
+last of equals). Where there is none, the window is widened to what the limit allows with the
+cuts before and behind where they are: first for even k, then for odd k, so a cut depends on the
+text of two windows before and behind only. A text without a boundary even there is cut at
+k * stride. Cuts of all ranges, stitched by their
 offsets, become pieces, and each piece is cut out of the one or more ranges that it touches.
 
 Pieces are at most `limit` characters with the overlap, which begins at a word start within the
@@ -36,8 +39,8 @@ class PieceOptions:
     range_chars: int = 48_000
 
     def __post_init__(self) -> None:
-        if self.stride <= self.slack or self.overlap < 0 or self.range_chars < self.halo:
-            raise ValueError("limit must leave room for slack and overlap, a range for its halo")
+        if self.stride <= self.slack or self.overlap < 0 or self.range_chars < 1:
+            raise ValueError("limit must leave room for slack and overlap, a range must hold something")
 
     @property
     def stride(self) -> int:
@@ -45,7 +48,7 @@ class PieceOptions:
 
     @property
     def halo(self) -> int:
-        return self.slack + self.overlap + 64
+        return 4 * self.stride + self.slack + self.overlap + 64
 
 
 #: Boundaries from best to worst; a cut stands behind the match.
@@ -55,6 +58,8 @@ BOUNDARIES = (
     re.compile(r"[.!?…]+[\"'”’»)\]]*\s+|[。！？]+[”’」』）]*"),
     re.compile(r"\s+"),
 )
+#: Characters that a boundary may be read ahead of and behind its window.
+LOOK = 8
 _WORD_START = re.compile(r"(?<=\s)\S")
 
 
@@ -62,7 +67,7 @@ def best_cut(text: str, low: int, high: int) -> tuple[int, int]:
     """(place, kind) of the cut in text[low:high]; kind is the boundary's rank, 4 where there is none."""
     for kind, boundary in enumerate(BOUNDARIES):
         last = -1
-        for m in boundary.finditer(text, max(0, low - 8)):
+        for m in boundary.finditer(text, max(0, low - LOOK), high + LOOK):
             if m.end() > high:
                 break
             if m.end() > low:
@@ -79,18 +84,25 @@ def _overlap_start(text: str, cut: int, overlap: int) -> int:
 
 
 def range_cuts(text: str, halo: int, offset: int, last: bool, options: PieceOptions) -> list[tuple[int, int, int]]:
-    """(cut, kind, overlap start) in item offsets, of every cut due in a range.
+    """(cut, kind, overlap start) in item offsets, of the cuts whose second next window ends in a range (in the last, of all that are left).
 
     text is the range behind `halo` characters of the range before; offset is where the range begins."""
-    base, end = offset - halo, offset - halo + len(text)
-    out = []
-    for k in range(offset // options.stride + 1, end // options.stride + 1):
-        due = k * options.stride - base
-        if last and k * options.stride >= end:
-            continue
-        cut, kind = best_cut(text, due - options.slack, due)
-        out.append((base + cut, kind, base + _overlap_start(text, cut, options.overlap)))
-    return out
+    base, end, stride, reach = offset - halo, offset - halo + len(text), options.stride, options.stride + options.slack
+    first = max(1, (offset - LOOK) // stride - 1)
+    stop = -(-end // stride) if last else (end - LOOK) // stride - 1
+    known = range(max(1, first - 2), stop if last else stop + 2)
+    cuts = {0: (0, -1)} | ({stop: (end, -1)} if last else {})
+    for k in known:
+        cut, kind = best_cut(text, k * stride - options.slack - base, k * stride - base)
+        cuts[k] = base + cut, kind
+    for parity in (0, 1):
+        for k in known:
+            if k % 2 == parity and cuts[k][1] == len(BOUNDARIES) and k - 1 in cuts and k + 1 in cuts:
+                before, behind = cuts[k - 1][0], cuts[k + 1][0]
+                cut, kind = best_cut(text, max(behind - reach - 1, before) - base, min(before + reach, behind - 1) - base)
+                if kind < len(BOUNDARIES):
+                    cuts[k] = base + cut, kind
+    return [(*cuts[k], base + _overlap_start(text, cuts[k][0] - base, options.overlap)) for k in range(first, stop)]
 
 
 def ranges_of_texts(df: DataFrame, id_column: str, text: str, options: PieceOptions) -> DataFrame:
