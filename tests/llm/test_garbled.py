@@ -45,3 +45,16 @@ def test_table(spark):
     df = spark.createDataFrame([(1, "cafÃ©", "x"), (2, None, "x"), (3, "", "x"), (4, "plain", "x"), (5, "cafÃ©", "x"), (6, "x " * 200_000 + "cafÃ©", "x")], "extraction_id long, text string, steps string")
     assert {r["extraction_id"]: r["restored_text"][-4:] for r in G.garbled(df).collect()} == {1: "café", 5: "café", 6: "café"}
     assert G.garbled(df.limit(0)).count() == 0
+
+
+def test_passages_garbled_in_different_ways():
+    russian, french = "Эта накладная была отправлена утром", "l’été à la société"
+    affected, restored, steps, whole = G.restore("Note: " + french.encode().decode("cp850") + ". " + russian.encode("cp1251").decode("cp1252"))
+    assert affected and whole and len(steps) == 2 and restored == f"Note: {french}. {russian}"
+    many = "".join(f"Line {i}, sound. " + "The façade of it".encode("utf-16-le").decode("latin-1") + " and so on without a fault here.\n" for i in range(9))
+    assert G.restore(many)[1:4:2] == ("".join(f"Line {i}, sound. The façade of it and so on without a fault here.\n" for i in range(9)), True)
+
+
+def test_a_passage_that_stays_garbled_is_not_restorable():
+    affected, _, _, whole = G.restore("caf├® is shut, " + "x╔y╔z w╔w╔w q╔q╔q")
+    assert affected and not whole

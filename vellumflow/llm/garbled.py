@@ -37,7 +37,6 @@ SWAPS = tuple((wrong, right) for right, wrongs in {
     "cp1251": ("cp1252", "latin-1", "koi8-r", "mac_roman", "cp866", "cp850"), "koi8-r": ("cp1251", "cp1252", "latin-1", "cp866"), "cp866": ("cp1251", "cp1252", "koi8-r", "latin-1"),
     "cp1250": ("cp1252", "latin-1", "cp1251", "cp850"), "iso8859-2": ("cp1252", "latin-1"), "mac_cyrillic": ("cp1251", "cp1252"),
 }.items() for wrong in wrongs)
-ROUNDS = 6
 
 # The automaton of well-formed multibyte sequences, over bytes written as Latin-1 characters.
 _TAIL = "[\x80-\xbf]"
@@ -246,9 +245,18 @@ def _swapped(word: str, wrong: str, right: str) -> str | None:
     return out if out != word and _natural(out) else None
 
 
-def _undo_swap(text: str) -> tuple[str, str] | None:
-    words = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text) if not m.group().isascii()]
-    odd = [(s, e, w) for s, e, w in words if odd_word(w) and not _quoted(text, s, e)]
+def _words(text: str) -> list[tuple[int, int, str]]:
+    return [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text) if not m.group().isascii()]
+
+
+def _odd(text: str, words: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    return [(s, e, w) for s, e, w in words if odd_word(w) and not _quoted(text, s, e)]
+
+
+def _undo_swap(text: str, beside: bool = False) -> tuple[str, str] | None:
+    """beside: sound words change only in an unbroken row of words with an odd one, for other passages are mended already."""
+    words = _words(text)
+    odd = _odd(text, words)
     if not odd:
         return None
     best: tuple[int, str, str] | None = None
@@ -259,10 +267,18 @@ def _undo_swap(text: str) -> tuple[str, str] | None:
     if best is None or best[0] * 3 < len(odd):
         return None
     _, wrong, right = best
+    mended_words = [_swapped(w, wrong, right) for _, _, w in words]
+    inside = [not beside] * len(words)
+    if beside:
+        starts = {s for s, _, _ in odd}
+        for way in (range(len(words)), reversed(range(len(words)))):
+            near = False
+            for i in way:
+                near = mended_words[i] is not None and (near or words[i][0] in starts)
+                inside[i] |= near
     parts, at = [], 0
-    for s, e, w in words:
-        new = _swapped(w, wrong, right)
-        if new is not None:
+    for (s, e, _), new, ours in zip(words, mended_words, inside, strict=True):
+        if new is not None and ours:
             parts += [text[at:s], new]
             at = e
     return "".join([*parts, text[at:]]), f"{right} as {wrong}"
@@ -278,21 +294,14 @@ def restore(text: str | None) -> tuple[bool, str | None, list[str], bool]:
         return False, text, [], True
     steps: list[str] = []
     now = text
-    for _ in range(ROUNDS):
-        done = _undo_utf16(now) or _undo_multibyte(now)
-        if done is None:
-            break
+    seen = {now}
+    while (done := _undo_utf16(now) or _undo_multibyte(now) or _undo_swap(now, bool(steps))) is not None and done[0] not in seen:
         now, step = done
+        seen.add(now)
         steps.append(step)
-    if not steps or any("cp1251" in s or "koi8" in s for s in steps):
-        for _ in range(2):
-            done = _undo_swap(now)
-            if done is None or done[0] == now:
-                break
-            now, step = done
-            steps.append(step)
     lost = _lost(now)
-    return bool(steps) or lost, unicodedata.normalize("NFC", now) if steps else now, [*steps, "lost"] if lost else steps, not lost
+    left = lost or bool(_ZEROS.search(now) or _odd(now, _words(now)))
+    return bool(steps) or lost, unicodedata.normalize("NFC", now) if steps else now, [*steps, "lost"] if lost else steps, not left
 
 
 _RESULT = T.StructType([T.StructField("affected", T.BooleanType()), T.StructField("restored", T.StringType()), T.StructField("steps", T.StringType()), T.StructField("whole", T.BooleanType())])
@@ -305,7 +314,7 @@ def _restore(texts: pd.Series) -> pd.DataFrame:
 
 
 def garbled(extractions: DataFrame, id_column: str = "extraction_id", text: str = "text") -> DataFrame:
-    """Affected rows: id, steps, restorable, restored_text (null where characters are lost).
+    """Affected rows: id, steps, restorable, restored_text (null where characters are lost or a passage stays garbled).
 
     Texts of ASCII characters alone are set aside by the JVM before Python sees them."""
     suspect = extractions.select(id_column, text).filter(F.col(text).rlike(r"[^\x01-\x7f]"))
