@@ -56,3 +56,23 @@ def test_core_stands_without_llm():
     code = "import sys; sys.modules['vellumflow.llm'] = None\nimport vellumflow.plans as p\nassert all(not q.startswith(('p1_', 'p5_')) for r in p.registries() for q in r.queries)"
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True).returncode == 0
+
+
+@pytest.mark.parametrize("name", ["q_rule_extraction", "q_result_records"])
+def test_documents_without_text_are_reported(spark, tmp_path, name):
+    spark.createDataFrame([(1, "Vendor: Acme\nRegion: North"), (2, None), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"] for r in entry.queries()[name](spark, str(tmp_path)).collect()} == {1, 2, 3}
+
+
+def test_upsert_meets_existing_jobs(spark, monkeypatch):
+    from vellumflow.operators import results
+
+    met, plain = [], results.upserted
+
+    def upserted(table, updates):
+        met.append(table.join(updates, "job_id", "left_semi").count())
+        return plain(table, updates)
+
+    monkeypatch.setattr(results, "upserted", upserted)
+    entry.queries()["q_job_upsert"](spark, DATA)
+    assert met[-1] > 0

@@ -328,7 +328,7 @@ def q_retention(spark: SparkSession, d: str) -> DataFrame:
 @registry.add("q_rule_extraction")
 def q_rule_extraction(spark: SparkSession, d: str) -> DataFrame:
     """Label rules over all documents, refined once, the best pass of each."""
-    docs = spread(table(spark, d, "documents").select("doc_id", "text").filter(F.col("text").isNotNull()), "doc_id")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
     return quality.best_pass(providers.refine(docs, ["rules", "rules"], ["Vendor"], ["Region", "Terms"])).select("doc_id", "iteration", "status", "data")
 
 
@@ -351,12 +351,16 @@ def q_attachments(spark: SparkSession, d: str) -> DataFrame:
 
 @registry.add("q_job_upsert", "WITH u AS (SELECT user_id AS job_id, nullif(event_type, 'view') AS state, ts AS updated_at, event_id FROM events) SELECT job_id, state, updated_at FROM u QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY updated_at DESC, state IS NULL DESC, state DESC) = 1 AND state IS NOT NULL")
 def q_job_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The newer half of the events merged into the jobs that the older half left."""
     e = table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.nullif("event_type", F.lit("view")).alias("state"), F.col("ts").alias("updated_at"))
-    return results.upserted(e.filter("job_id < 0"), e)
+    middle = e.agg(F.timestamp_seconds((F.unix_timestamp(F.min("updated_at")) + F.unix_timestamp(F.max("updated_at"))) / 2).cast(e.schema["updated_at"].dataType).alias("middle"))  # one row
+    split = e.join(F.broadcast(middle))
+    older, newer = split.filter("updated_at < middle").drop("middle"), split.filter("updated_at >= middle").drop("middle")
+    return results.upserted(results.upserted(older.limit(0), older), newer)
 
 
 @registry.add("q_result_records")
 def q_result_records(spark: SparkSession, d: str) -> DataFrame:
-    docs = spread(table(spark, d, "documents").select("doc_id", "text").filter(F.col("text").isNotNull()), "doc_id")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
     extracted = providers.extract(docs, ["Vendor", "Region"])
     return results.result_records(quality.report(providers.field_rows(extracted, ["Vendor"], ["Region"])), extracted)
