@@ -9,7 +9,7 @@ FORMS = "form_id long, fields array<struct<label:string,value:string,field_type:
 def paths(spark, records, forms=()):
     r = spark.createDataFrame([(i, x, "clash") for i, x in records], RESULTS)
     f = spark.createDataFrame(list(forms), FORMS)
-    return {(x["record_table"], x["record_id"], x["node_path"]) for x in N.nested_objects(r, f).collect()}
+    return {(x["record_table"], x["record_id"], x["node_path"]) for x in N.child_links(r, f).collect()}
 
 
 def test_paths_of_uneven_records(spark):
@@ -29,10 +29,25 @@ def test_forms_and_repeated_results(spark):
 
 
 def test_links_and_tables(spark):
-    r = spark.createDataFrame([(1, '{"experience":[{"projects":[{"n":1},{"n":2}]}]}', "c")], RESULTS)
-    rows = N.extracted_tables(r)["projects"].orderBy("position").collect()
-    assert [(x["parent_path"], x["position"], json.loads(x["object"])["n"]) for x in rows] == [("experience[0]", 0, 1), ("experience[0]", 1, 2)]
-    assert N.nested_objects(r.limit(0), spark.createDataFrame([], FORMS)).count() == 0
+    r = spark.createDataFrame([(1, '{"experience":[{"Company":"A","projects":[{"name":"n","Tools":["x","y"]},null,{"NAME":null,"name":"m","tools":7}]}]}', "c")], RESULTS)
+    rows = N.child_table(r, "projects").orderBy("position").collect()
+    assert [tuple(x) for x in rows] == [(1, "experience[0].projects[0]", "experience[0]", 0, "n", ["x", "y"]), (1, "experience[0].projects[2]", "experience[0]", 2, "m", None)]
+    assert [x["company"] for x in N.child_table(r, "experience").collect()] == ["A"]
+    assert N.child_links(r.limit(0), spark.createDataFrame([], FORMS)).count() == 0
+
+
+def test_typed_columns(spark):
+    items = [{"quantity": "1,234.50", "Unit Price": 2, "total": "n/a", "description": 5}, {"unit price": None, "unit_price": "3"}]
+    r = spark.createDataFrame([(1, json.dumps({"line_items": items}), "c")], RESULTS)
+    rows = N.child_table(r, "line_items").orderBy("position").collect()
+    assert [(x["quantity"], x["unit_price"], x["total"], x["description"]) for x in rows] == [(1234.5, 2.0, None, "5"), (None, 3.0, None, None)]
+    assert N.child_table(r.limit(0), "years").columns[:5] == ["record_id", "node_path", "parent_path", "position", "year"]
+
+
+def test_plan_of_links_builds_no_objects(spark):
+    r = spark.createDataFrame([(1, "{}", "c")], RESULTS)
+    df, _ = N._extracted(r)
+    assert "StructsToJson" not in df._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_very_long_record(spark):

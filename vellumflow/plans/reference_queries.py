@@ -73,8 +73,8 @@ def _duck_cascade(column: str) -> str:
 
 @registry.add("q_redacted_results", f"WITH base AS (SELECT DISTINCT result_id, extracted_data AS x FROM extraction_results), {_duck_cascade('x')} SELECT result_id, t7 AS redacted FROM s7")
 def q_redacted_results(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "extraction_results").select("result_id", "extracted_data").distinct()
-    return spread(rows, "result_id").select("result_id", privacy.redacted_text(F.col("extracted_data")).alias("redacted"))
+    rows = spread(table(spark, d, "extraction_results").select("result_id", "extracted_data"), "result_id").distinct()
+    return rows.select("result_id", privacy.redacted_text(F.col("extracted_data")).alias("redacted"))
 
 
 @registry.add("q_redacted_documents")

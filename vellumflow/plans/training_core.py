@@ -13,8 +13,7 @@ registry = Registry()
 
 
 def _instants(spark: SparkSession, d: str) -> DataFrame:
-    rows = instants.dated_rows(table(spark, d, "signatures"), table(spark, d, "employee_rows"))
-    return instants.normalise(spread(rows, "source", "record_id"))
+    return instants.normalise(instants.dated_rows(spread(table(spark, d, "signatures"), "signature_id"), spread(table(spark, d, "employee_rows"), "row_id")))
 
 
 @registry.add("p2_found")
@@ -27,15 +26,30 @@ def p2_instants(spark: SparkSession, d: str) -> DataFrame:
     return _instants(spark, d).select(F.col("source").alias("record_table"), "record_id", "micros", "layout", F.bround("posterior", 6).alias("posterior"), "status")
 
 
+def _records(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return spread(table(spark, d, "extraction_results").select("result_id", "extracted_data"), "result_id"), spread(table(spark, d, "form_analyses").select("form_id", "fields"), "form_id")
+
+
 @registry.add("p3_found")
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = nested.nested_objects(spread(table(spark, d, "extraction_results"), "result_id"), spread(table(spark, d, "form_analyses"), "form_id"))
-    return rows.select("record_table", "record_id", "node_path")
+    return nested.child_links(*_records(spark, d)).select("record_table", "record_id", "node_path")
+
+
+@registry.add("p3_links")
+def p3_links(spark: SparkSession, d: str) -> DataFrame:
+    return nested.child_links(*_records(spark, d))
+
+
+def _child(target: str, form: bool) -> None:
+    @registry.add(f"p3_{target}")
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return nested.child_table(_records(spark, d)[form], target)
 
 
-@registry.add("p3_tables")
-def p3_tables(spark: SparkSession, d: str) -> DataFrame:
-    return nested.nested_objects(table(spark, d, "extraction_results"), table(spark, d, "form_analyses"))
+for _target in nested.tables_of(nested.EXTRACTED):
+    _child(_target, False)
+for _target in nested.tables_of(nested.FORM):
+    _child(_target, True)
 
 
 @registry.add("p6_found")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Salts per key for joins against a hot key; one key may hold a third of all rows.
@@ -31,14 +32,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Balance rows over the cores before heavy per-row work.
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Balance a scan's rows over the cores before heavy per-row work.
 
     A small table is one file and so one task; only then is the shuffle worth it. Rows are
-    hashed on the given id columns, so a recomputed task sees the same rows.
+    hashed on the given id columns, so a recomputed task sees the same rows. `scan` has narrow
+    steps only: behind a shuffle the count of partitions would run the query, so that is an error.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    if scan._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
+        raise ValueError("spread takes a scan, before any shuffle")
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(2 * cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def salted_lookup(rows: DataFrame, lookup: DataFrame, key: str, by: str, salts: int = SALTS) -> DataFrame:
@@ -52,15 +56,31 @@ def salted_lookup(rows: DataFrame, lookup: DataFrame, key: str, by: str, salts:
     return left.join(right.hint("shuffle_hash"), [key, "_salt"], "left").drop("_salt")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder named by spark.checkpoint.dir; a local folder only where none is set."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The context's checkpoint folder: spark.checkpoint.dir, or the one already given; a local one only on a single machine."""
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        shared = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "vellumflow-checkpoints")
-        context.setCheckpointDir(shared)
+    given = context._jsc.sc().getCheckpointDir()
+    if not given.isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "vellumflow-checkpoints"))
+        given = context._jsc.sc().getCheckpointDir()
+    return given.get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def half_even(col: Column, digits: int = 6) -> Column:
-    return F.bround(col, digits)
+def staged(df: DataFrame) -> DataFrame:
+    """Cut lineage by a written table in the shared folder, for what is read column by column; removed with the session's end."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.parquet(folder)
+
