@@ -1,16 +1,21 @@
 """Per-document text statistics and the class that tells running prose from the rest (problem 9).
 
 Statistics come from one pass over each whole text. Prose of each language group gets a robust
-mean and covariance of all statistics: from the documents that are mostly full sentences, then
-again from those within a cut-off of that first estimate, with floors under the variances. Sums
-for it are taken in Spark; only one small matrix a language group reaches the driver. The
-squared Mahalanobis distance of a document is the sum of one contribution a statistic, and the
-contributions are reported. A document beyond the distance that is mostly not full sentences is
-'list', 'table' or 'junk', whichever group of statistics contributes most.
-
-Null, empty and blank texts have no statistics and no class. Repeated texts are judged alike.
-Language is read off the text by the frequent words of each language and the script; the stated
-language isn't trusted. Groups with fewer than `MIN_GROUP` prose documents use all groups' model.
+mean and covariance of all statistics: a first estimate from the documents labelled as prose, then
+again from all documents within the bulk of those labelled ones, with floors under the variances;
+a language group with few documents is drawn towards the model of all. Sums for it are taken in
+Spark; only one small matrix a language group reaches the driver. The squared Mahalanobis distance
+of a document is the sum of one contribution a statistic, and the contributions are reported. The
+distance alone decides whether a document is prose: the cut is where it best divides the labelled
+documents. Beyond it the profile of contributions decides between 'list', 'table' and 'junk': the
+nearest median profile of labelled documents of one kind. Kinds are those of `PROFILES`.
+
+Labels are read from a bounded sample of documents (`LABELLED_ROWS`, by hash); wrong ones are
+outvoted by medians and the cut's count. Without labels the first estimate is of
+the medians of all documents, the cut is `CUT`, and the profiles are those expected. Null, empty and blank texts
+have no statistics and no class. Repeated texts are judged alike. Language is read off the text by
+the frequent words of each language and the script; the stated language isn't trusted. Empty tables
+give empty results; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -20,6 +25,8 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,17 +37,26 @@ from vellumflow.session import checkpointed
 
 STATISTICS = (
     "log_words", "mean_word_length", "symbol_ratio", "digit_ratio", "line_end_punctuation", "common_word_share", "words_per_unit",
-    "entry_share", "row_share", "noise_share", "repeat_share", "disorder", "entropy", "upper_ratio",
+    "entry_share", "row_share", "noise_share", "sentence_share", "repeat_share", "disorder", "entropy", "upper_ratio",
 )
 #: Smallest standard deviation of each, so that a statistic that hardly varies in prose doesn't rule alone.
-FLOORS = (0.8, 0.8, 0.04, 0.05, 0.35, 0.12, 6.0, 0.12, 0.12, 0.12, 0.15, 0.12, 0.5, 0.2)
-GROUPS = {"list": ("entry_share",), "table": ("row_share",), "junk": ("noise_share", "repeat_share", "disorder")}
-#: Squared distance beyond which a document isn't like its language's prose, and the sentence share that must be missing.
-CUT = 9.0
-SENTENCE_SHARE = 0.5
-MIN_GROUP = 30
+FLOORS = (3.0, 0.8, 0.04, 0.05, 0.35, 0.12, 6.0, 0.12, 0.12, 0.12, 0.12, 0.06, 0.06, 0.5, 0.2)
+#: Labelled documents that calibrate the cut and the profiles: a sample by hash, so much and no more reaches the driver.
+LABELLED_ROWS = 20_000
+#: Rows of the model of all documents that each language group's own is mixed with.
+PRIOR_ROWS = 50
+#: Share of the labelled prose that the model is estimated again from, and how often.
+BULK, ROUNDS = 0.9, 3
+#: Squared distance of the cut where no label says better.
+CUT = 70.0
+#: What the kinds of each class are expected to differ in; each counts as much as `PROFILE_ROWS` labelled documents.
+PROFILES = (("list", ("entry_share", "sentence_share")), ("table", ("row_share", "sentence_share")), ("junk", ("noise_share", "sentence_share")), ("junk", ("repeat_share",)), ("junk", ("disorder",)))
+CLASSES = np.array([name for name, _ in PROFILES], dtype=object)
+PROFILE_ROWS = 3
 #: Lift below which two frequent words don't belong together.
 RARE_PAIR = 0.25
+#: Ordered pairs that are taken for granted, so that a few rare ones in a short text say little.
+PAIRS_BEFORE = 6
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _TOKEN = re.compile(r"\S+")
@@ -57,6 +73,7 @@ _CLUSTER = re.compile(r"[bcdfghjklmnpqrstvwxzß]{5,}", re.IGNORECASE)
 _GAP = re.compile(r"(?<=\S) {2,}(?=\S)")
 
 
+@lru_cache(1 << 16)
 def _plausible_word(w: str) -> bool:
     if not w.isascii() and not _VOWEL.search(w):
         return ord(w[0]) > 0x530
@@ -68,6 +85,11 @@ def _plausible_word(w: str) -> bool:
     return body.islower() or w.isupper() or w.islower() or "'" in w or "’" in w or len(w) < 3
 
 
+@lru_cache(1 << 16)
+def _sound(token: str) -> bool:
+    return bool(_SOUND_TOKEN.fullmatch(token)) and all(map(_plausible_word, _WORD.findall(token)))
+
+
 def _columns(lines: list[str]) -> np.ndarray:
     """Which lines are rows of columns: a delimiter as often as in most lines, or cells that begin below each other."""
     n = len(lines)
@@ -109,7 +131,8 @@ class Statistics:
         """(language group, share of its frequent words)."""
         if not words:
             return "none", 0.0
-        shares = {lang: sum(w in own for w in words) / len(words) for lang, own in self.common.items()}
+        times = Counter(words)
+        shares = {lang: sum(times[w] for w in times.keys() & own) / len(words) for lang, own in self.common.items()}
         lang, share = max(shares.items(), key=lambda x: x[1], default=("none", 0.0))
         if len(_CJK.findall(text)) > 0.2 * len(text):
             return "cjk", 0.3
@@ -118,8 +141,8 @@ class Statistics:
         cyrillic = sum("Ѐ" <= w[0] <= "ӿ" for w in words) > len(words) / 2
         return ("cyrillic" if cyrillic else "latin"), share
 
-    def of(self, text: str) -> tuple[str, float, list[float]] | None:
-        """(language group, share of full sentences, statistics)."""
+    def of(self, text: str) -> tuple[str, list[float]] | None:
+        """(language group, statistics)."""
         if text is None or not text.strip():
             return None
         text = unicodedata.normalize("NFC", text)
@@ -152,11 +175,10 @@ class Statistics:
         stats = [
             math.log1p(len(words) if not cjk else solid / 2), sum(map(len, words)) / len(words) if words and not cjk else 5.0 if cjk else 0.0, symbols / visible, digits / visible,
             sum(bool(_TERMINAL.search(x)) for x in lines) / len(lines), share, min(60.0, unit_words / max(1, units)),
-            weights["entry"] / total, weights["row"] / total, weights["noise"] / total, repeated, disorder, float(-(probabilities * np.log2(probabilities)).sum()),
+            weights["entry"] / total, weights["row"] / total, weights["noise"] / total, weights["sentence"] / total, repeated, disorder, float(-(probabilities * np.log2(probabilities)).sum()),
             sum(c for x, c in chars.items() if x.isupper()) / letters,
         ]
-        ordered = weights["sentence"] / total if repeated < 0.5 and disorder < 0.4 else 0.0
-        return group, ordered, stats
+        return group, stats
 
     def _units(self, lines: list[str], rows: np.ndarray, cjk: bool) -> Iterator[tuple[str | None, str, bool]]:
         """(kind if known, unit, is a line by itself): wrapped lines joined and cut at sentence ends, rows as they are."""
@@ -204,10 +226,10 @@ class Statistics:
         tokens = _TOKEN.findall(body)
         if cjk and _CJK.search(body):
             return "sentence" if len(body) >= 8 and (re.search(r"[。！？，、]", body) or len(body) >= 20) else "entry"
-        visible = sum(not c.isspace() for c in body) or 1
+        visible = sum(map(len, tokens)) or 1
         letters = sum(map(len, words))
         plain = [w for w in words if _plausible_word(w)]
-        sound = sum(len(t) for t in tokens if _SOUND_TOKEN.fullmatch(t) and all(map(_plausible_word, _WORD.findall(t))))
+        sound = sum(len(t) for t in tokens if _sound(t))
         longest = max(map(len, tokens), default=0)
         label = _LABEL.match(unit)
         if label and len(unit) < 90 and len(_WORD.findall(label["value"])) <= 5:
@@ -238,10 +260,8 @@ class Statistics:
     def repeats(text: str, lower: list[str], cjk: bool) -> float:
         """Share of places whose next four words (six characters without spaces) were there before, more than twice."""
         items = [text[i : i + 6] for i in range(0, max(0, len(text) - 5))] if cjk or len(lower) < 8 else [" ".join(lower[i : i + 4]) for i in range(len(lower) - 3)]
-        if len(items) < 12:
-            return 0.0
         counts = Counter(items)
-        return sum(c for c in counts.values() if c > max(3, 0.02 * len(items))) / len(items)
+        return sum(c for c in counts.values() if c > max(3, 0.02 * len(items))) / max(1, len(items))
 
     def disorder(self, lower: list[str], group: str) -> float:
         """Share of neighbouring frequent words that stand together far less often than by chance."""
@@ -249,9 +269,7 @@ class Statistics:
         if own is None or lift is None:
             return 0.0
         pairs = [p for p in zip(lower, lower[1:], strict=False) if p[0] in own and p[1] in own]
-        if len(pairs) < 12:
-            return 0.0
-        return sum(lift.get(p, 0.0) < RARE_PAIR for p in pairs) / len(pairs)
+        return sum(lift.get(p, 0.0) < RARE_PAIR for p in pairs) / (len(pairs) + PAIRS_BEFORE)
 
 
 def _joined_prose(body: str) -> bool:
@@ -309,72 +327,87 @@ def neighbour_lift(documents: DataFrame, common: dict[str, set[str]]) -> Lift:
     return lift_of({(r["lang_group"], r["a"], r["b"]): r["n"] for r in rows})
 
 
+def _statistics_schema() -> str:
+    return "doc_id long, lang_group string, " + ", ".join(f"{s} double" for s in STATISTICS)
+
+
 def document_statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
-    """doc_id, lang_group, sentence_share and the statistics, for every document with text."""
+    """doc_id, lang_group and the statistics, for every document with text."""
     common = frequent_words(common_words)
     lift = neighbour_lift(documents, common)
-    schema = "doc_id long, lang_group string, sentence_share double, " + ", ".join(f"{s} double" for s in STATISTICS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         statistics = Statistics(common, lift)
         for part in batches:
-            out = [(i, *found[:2], *found[2]) for i, t in zip(part["doc_id"], part["text"], strict=True) if (found := statistics.of(t)) is not None]
-            yield pd.DataFrame(out, columns=["doc_id", "lang_group", "sentence_share", *STATISTICS])
+            out = [(i, found[0], *found[1]) for i, t in zip(part["doc_id"], part["text"], strict=True) if (found := statistics.of(t)) is not None]
+            yield pd.DataFrame(out, columns=["doc_id", "lang_group", *STATISTICS])
 
-    return documents.select("doc_id", "text").filter(F.col("text").isNotNull()).mapInPandas(run, schema)
+    return documents.select("doc_id", "text").filter(F.col("text").isNotNull()).mapInPandas(run, _statistics_schema())
 
 
 Model = dict[str, tuple[np.ndarray, np.ndarray]]
+Moments = dict[str, tuple[float, np.ndarray, np.ndarray]]
 
 
-def _moments(stats: DataFrame, model: Model | None) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
-    """Count, sums and products by language group of mostly-sentence documents, within the cut of a model if there is one."""
+@dataclass(frozen=True)
+class Fitted:
+    """(mean, inverse covariance) by language group, the cut of the squared distance, and the profiles of `PROFILES`."""
+
+    model: Model
+    cut: float
+    profiles: np.ndarray
+
+
+def _packed(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([[len(x)], x.sum(0), (x.T @ x)[np.triu_indices(x.shape[1])]])
+
+
+def _unpacked(row: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     k = len(STATISTICS)
-    upper = np.triu_indices(k)
+    products = np.zeros((k, k))
+    products[np.triu_indices(k)] = row[1 + k :]
+    return row[0], row[1 : 1 + k], products + np.triu(products, 1).T
+
+
+def _medians(stats: DataFrame) -> Model:
+    """Medians and absolute deviations from them of all documents, where no label says which are prose."""
+    middle = np.array(stats.agg(*[F.coalesce(F.percentile_approx(s, 0.5), F.lit(0.0)).alias(s) for s in STATISTICS]).first())
+    spread = np.array(stats.agg(*[F.coalesce(F.percentile_approx(F.abs(F.col(s) - float(m)), 0.5), F.lit(0.0)).alias(s) for s, m in zip(STATISTICS, middle, strict=True)]).first())
+    return {"*": (middle, np.diag(1 / (np.square(1.4826 * spread) + np.square(FLOORS))))}
+
+
+def _moments(stats: DataFrame, model: Model, within: float) -> Moments:
+    """Count, sums and products by language group of the documents within a squared distance of a model."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
         for part in batches:
-            x = part[list(STATISTICS)].to_numpy()
-            keep = part["sentence_share"].to_numpy() > 0.8
-            if model is not None:
-                keep &= distances(x, part["lang_group"].tolist(), model)[0] < 3 * k
-            for group in part["lang_group"].unique():
-                own = x[keep & (part["lang_group"] == group).to_numpy()]
-                row = np.concatenate([[len(own)], own.sum(0), (own.T @ own)[upper]])
-                sums[group] = sums.get(group, 0) + row
+            x, groups = part[list(STATISTICS)].to_numpy(), part["lang_group"].to_numpy()
+            keep = distances(x, groups.tolist(), model)[0] <= within
+            for group in set(groups):
+                sums[group] = sums.get(group, 0) + _packed(x[keep & (groups == group)])
         for group, row in sums.items():
             yield pd.DataFrame({"lang_group": group, "at": np.arange(len(row)), "value": row})
 
     rows = stats.mapInPandas(partial, "lang_group string, at int, value double").groupBy("lang_group", "at").agg(F.sum("value").alias("value")).collect()
+    k = len(STATISTICS)
     out: dict[str, np.ndarray] = {}
-    for r in rows:  # language groups x 120 numbers
-        out.setdefault(r["lang_group"], np.zeros(1 + k + len(upper[0])))[r["at"]] = r["value"]
-    found = {}
-    for group, row in out.items():
-        products = np.zeros((k, k))
-        products[upper] = row[1 + k :]
-        found[group] = row[0], row[1 : 1 + k], products + np.triu(products, 1).T
-    return found
+    for r in rows:  # language groups x 136 numbers
+        out.setdefault(r["lang_group"], np.zeros(1 + k + k * (k + 1) // 2))[r["at"]] = r["value"]
+    return {group: _unpacked(row) for group, row in out.items()}
 
 
-def _fit_once(moments: dict[str, tuple[float, np.ndarray, np.ndarray]]) -> Model:
+def estimate(moments: Moments) -> Model:
+    """The model of all groups ('*'), and each group's own mixed with `PRIOR_ROWS` rows of it."""
     floors = np.diag(np.square(FLOORS))
-    total = [sum(m[i] for m in moments.values()) for i in range(3)] if moments else [0, np.zeros(len(FLOORS)), np.zeros((len(FLOORS),) * 2)]
-
-    def estimate(n: float, s: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if n < 2:
-            return np.zeros(len(FLOORS)), np.linalg.inv(floors)
-        mean = s / n
-        return mean, np.linalg.inv((p / n - np.outer(mean, mean)) * n / (n - 1) + floors)
-
-    model = {"*": estimate(*total)}
-    return model | {g: estimate(*m) for g, m in moments.items() if m[0] >= MIN_GROUP}
-
-
-def fit(stats: DataFrame) -> Model:
-    """Language group -> (mean, inverse covariance): a first estimate, then one from the documents near it."""
-    return _fit_once(_moments(stats, _fit_once(_moments(stats, None))))
+    n, s, p = (sum(m[i] for m in moments.values()) for i in range(3)) if moments else (0, 0, 0)
+    mean = s / n if n else np.zeros(len(FLOORS))
+    second = p / n if n else np.outer(mean, mean)
+    model = {"*": (mean, np.linalg.inv(second - np.outer(mean, mean) + floors))}
+    for group, (n1, s1, p1) in moments.items():
+        own = (s1 + PRIOR_ROWS * mean) / (n1 + PRIOR_ROWS)
+        model[group] = own, np.linalg.inv((p1 + PRIOR_ROWS * second) / (n1 + PRIOR_ROWS) - np.outer(own, own) + floors)
+    return model
 
 
 def distances(x: np.ndarray, groups: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -389,24 +422,77 @@ def distances(x: np.ndarray, groups: list[str], model: Model) -> tuple[np.ndarra
     return parts.sum(1), parts
 
 
-def classify(stats: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_group, statistics, sentence_share, distance, contributions (a map), text_class."""
+def profile(parts: np.ndarray) -> np.ndarray:
+    """Contributions as directions: roots of their shares of the distance."""
+    positive = np.maximum(parts, 0)
+    return np.sqrt(positive / np.maximum(positive.sum(1, keepdims=True), 1e-9))
+
+
+def dividing_cut(squared: np.ndarray, strange: np.ndarray) -> float:
+    """The cut with the fewest labelled documents on the wrong side; of several the middle of the widest gap."""
+    if not strange.any() or strange.all():
+        return CUT
+    at = np.sort(squared)
+    order = np.argsort(squared)
+    # documents up to place i are within: strange ones there and others beyond are wrong
+    wrong = np.cumsum(strange[order]) + (~strange).sum() - np.cumsum(~strange[order])
+    gap = np.log(np.append(at[1:], at[-1]) + 1e-9) - np.log(at + 1e-9)
+    i = max(np.flatnonzero(wrong == wrong.min()), key=lambda j: gap[j])
+    return float(at[i] * np.exp(gap[i] / 2))
+
+
+def labelled_sample(stats: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> pd.DataFrame:
+    """The statistics of at most `rows` labelled documents, lowest hashes first; of several labels of one document the most frequent."""
+    named = labels.select("doc_id", F.lower(F.trim("label")).alias("label")).filter(F.col("label").isin("prose", *CLASSES) & F.col("doc_id").isNotNull())
+    voted = named.groupBy("doc_id", "label").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.max_by("label", F.struct("n", "label")).alias("label"))
+    sample = voted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return stats.join(F.broadcast(sample), "doc_id").toPandas()  # both bounded by rows
+
+
+def fit(stats: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Fitted:
+    sample = labelled_sample(stats, labels, rows)
+    x, groups, label = sample[list(STATISTICS)].to_numpy(float), sample["lang_group"].to_numpy(), sample["label"].to_numpy()
+    prose = label == "prose"
+    if prose.any():
+        model = estimate({g: _unpacked(_packed(x[prose & (groups == g)])) for g in set(groups[prose])})
+    else:
+        model = _medians(stats)
+    for _ in range(ROUNDS):
+        within = np.quantile(distances(x[prose], groups[prose].tolist(), model)[0], BULK) if prose.any() else 2.0 * len(STATISTICS)
+        model = estimate(_moments(stats, model, float(within)))
+    squared, parts = distances(x, groups.tolist(), model)
+    cut = dividing_cut(squared, ~prose)
+    return Fitted(model, cut, profiles_of(profile(parts)[squared > cut], label[squared > cut]))
+
+
+def nearest(found: np.ndarray, profiles: np.ndarray) -> np.ndarray:
+    return np.square(found[:, None] - profiles).sum(2).argmin(1)
+
+
+def profiles_of(found: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The median profile of each kind: labelled documents of its class that are nearest to what it is expected to be."""
+    expected = np.array([[(s in members) * len(members) ** -0.5 for s in STATISTICS] for _, members in PROFILES])
+    out = expected.copy()
+    for name in set(CLASSES):
+        kinds, own = np.flatnonzero(name == CLASSES), found[label == name]
+        kind = kinds[nearest(own, expected[kinds])]
+        for k in kinds:
+            out[k] = np.median(np.vstack([own[kind == k], np.repeat(expected[k : k + 1], PROFILE_ROWS, 0)]), axis=0)
+    return out
+
+
+def classify(stats: DataFrame, fitted: Fitted) -> DataFrame:
+    """doc_id, lang_group, statistics, distance, contributions (a map), text_class."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            x = part[list(STATISTICS)].to_numpy()
-            total, parts = distances(x, part["lang_group"].tolist(), model)
-            column = {s: i for i, s in enumerate(STATISTICS)}
-            scores = np.stack([np.maximum(0, parts[:, [column[s] for s in members]]).sum(1) for members in GROUPS.values()], axis=1)
-            names = np.array(list(GROUPS))
-            strange = (total > CUT) & (part["sentence_share"].to_numpy() < SENTENCE_SHARE)
-            picked = names[scores.argmax(1)] if len(part) else names[:0]
-            yield part.assign(distance=np.sqrt(np.maximum(0, total)), contributions=[dict(zip(STATISTICS, row, strict=True)) for row in parts.tolist()], text_class=np.where(strange, picked, "prose"))
+            squared, parts = distances(part[list(STATISTICS)].to_numpy(), part["lang_group"].tolist(), fitted.model)
+            picked = CLASSES[nearest(profile(parts), fitted.profiles)]
+            yield part.assign(distance=np.sqrt(np.maximum(0, squared)), contributions=[dict(zip(STATISTICS, row, strict=True)) for row in parts.tolist()], text_class=np.where(squared > fitted.cut, picked, "prose"))
 
-    schema = "doc_id long, lang_group string, sentence_share double, " + ", ".join(f"{s} double" for s in STATISTICS) + ", distance double, contributions map<string,double>, text_class string"
-    return stats.mapInPandas(run, schema)
+    return stats.mapInPandas(run, _statistics_schema() + ", distance double, contributions map<string,double>, text_class string")
 
 
-def judged(documents: DataFrame, common_words: DataFrame) -> DataFrame:
+def judged(documents: DataFrame, common_words: DataFrame, labels: DataFrame) -> DataFrame:
     stats = checkpointed(document_statistics(documents, common_words))
-    return classify(stats, fit(stats))
+    return classify(stats, fit(stats, labels))

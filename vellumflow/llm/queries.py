@@ -61,7 +61,7 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
-    return prose.judged(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), table(spark, d, "common_words"))
+    return prose.judged(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), table(spark, d, "common_words"), table(spark, d, "doc_labels"))
 
 
 @registry.add("p9_found")
