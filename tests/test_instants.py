@@ -47,14 +47,32 @@ def test_unusable(value):
     assert I.candidates(value, "UTC") == ()
 
 
-def test_mixture_follows_the_source_where_no_rule_decides(monkeypatch):
-    monkeypatch.setattr(I, "prior", lambda layout, locale: 1.0)
-    patterns = [frozenset({"day_first"}), frozenset({"month_first"}), frozenset({"day_first", "month_first"})]
-    posterior = I.mixture_posteriors(patterns, np.array([900.0, 10.0, 500.0]), None)
-    names = list(I.LAYOUTS)
-    assert posterior[2, names.index("day_first")] > 0.95
-    even = I.mixture_posteriors(patterns, np.array([100.0, 100.0, 50.0]), None)
-    assert max(even[2]) < I.SURE
+def test_mixture_follows_the_source_where_no_rule_decides():
+    day, month = ("day_first", 404), ("month_first", 404)
+    patterns = [(day,), (month,), (day, month)]
+    assert I.mixture_posteriors(patterns, np.array([900.0, 10.0, 500.0]), None, against_rule=1.0)[2][0] > 0.95
+    assert max(I.mixture_posteriors(patterns, np.array([100.0, 100.0, 50.0]), None, against_rule=1.0)[2]) < I.SURE
+    assert I.mixture_posteriors(patterns, np.array([900.0, 10.0, 500.0]), "en_US")[2][1] > 0.99  # the rule outweighs the source
+    assert I.mixture_posteriors([()], np.array([3.0]), None)[0].size == 0
+
+
+def test_eras_carry_likelihood():
+    old, new = ("compact", 380), ("day_first", 404)
+    patterns = [(("year_first", 404),), (old, new)]
+    assert I.mixture_posteriors(patterns, np.array([500.0, 1.0]), None)[1][1] > 0.95
+
+
+def test_sources_decide_and_ambiguity_is_marked(spark):
+    """Planted: the same text in three sources without a locale; expectation-maximisation, not a prior, picks its reading."""
+    rows, n = [], 0
+    for zone, told in (("America/Chicago", ["04/25/2024"] * 30), ("Europe/Paris", ["25/04/2024"] * 30), ("Asia/Tokyo", ["2024-04-25"] * 30)):
+        for text in [*told, "03/04/2024"]:
+            rows.append((n := n + 1, n, text, zone, None, "c"))
+    s, e = spark.createDataFrame(rows, SIGNATURES), spark.createDataFrame([], EMPLOYEES)
+    at = lambda weight: {r["zone"]: (r["layout"], r["status"]) for r in I.normalise(I.dated_rows(s, e), weight).filter("value = '03/04/2024'").collect()}
+    free = at(1.0)
+    assert free["America/Chicago"] == ("month_first", "ok") and free["Europe/Paris"] == ("day_first", "ok") and free["Asia/Tokyo"][1] == "ambiguous"
+    assert set(at(I.AGAINST_RULE).values()) == {("day_first", "ok")}
 
 
 SIGNATURES = "signature_id long, doc_id long, date_signed string, site_tz string, locale string, status string"

@@ -1,14 +1,17 @@
 """Mixed timestamp formats and zones to one UTC instant (problem 2).
 
 Every value is parsed under every layout that it can match; day-first and month-first count as
-two layouts. Values with the same source and the same set of valid layouts are one pattern, so
-expectation-maximisation over a source's format mixture needs only pattern counts: these are
-summed map-side, and each source's few dozen patterns go through EM in one small task. The
-posteriors then choose a layout for each pattern and mark what stays ambiguous.
-
-The reading rule (order of day and month by locale) is the prior: a layout that contradicts it
-has the prior weight `AGAINST_RULE`, so it can win only where the rule leaves no valid parse;
-such rows carry by_rule = false and name no real date by the rule.
+two layouts. A source is a table, a locale and a time zone. Values of one source with the same
+valid parses (layout and era, the five years in which the instant would lie) are one pattern, so
+expectation-maximisation needs only pattern counts: these are summed map-side, and each source's
+few dozen patterns go through EM in one small task. A source's model is a mixture of layouts, and
+within it a distribution over eras; a value contributes to each valid parse by its posterior. The
+posteriors then choose a parse for each pattern and mark what stays ambiguous.
+
+The reading rule (order of day and month by locale) is the prior: a layout that contradicts it has
+the prior weight `against_rule`. With the default it can win only where the rule leaves no valid
+parse; such rows are marked and name no real date by the rule. With `against_rule=1` nothing is
+said beforehand and the sources alone decide.
 
 Nulls, blanks and unusable values give instant null and status 'unusable'. Empty tables give
 empty results. Extra columns aren't read; rows delivered twice whole count once.
@@ -19,12 +22,12 @@ from __future__ import annotations
 import datetime as dt
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from zoneinfo import ZoneInfo
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +35,8 @@ from vellumflow.session import checkpointed
 
 #: Prior weight of a day-month order that the reading rule excludes.
 AGAINST_RULE = 1e-9
+#: Years of one era.
+ERA_YEARS = 5
 #: A posterior below this leaves the value marked as ambiguous.
 SURE = 0.95
 EM_ROUNDS = 30
@@ -182,75 +187,91 @@ def candidates(value: str, own: str | None) -> tuple[tuple[str, int], ...]:
     return tuple(found)
 
 
-def prior(layout: str, locale: str | None) -> float:
+def prior(layout: str, locale: str | None, against_rule: float = AGAINST_RULE) -> float:
     order = RULED.get(layout)
     if order is None:
         return 1.0
-    return 1.0 if (order == "M") == (locale in MONTH_FIRST_LOCALES) else AGAINST_RULE
+    return 1.0 if (order == "M") == (locale in MONTH_FIRST_LOCALES) else against_rule
+
+
+Parse = tuple[str, int]  # layout and era
+
+
+def mixture_posteriors(patterns: list[tuple[Parse, ...]], counts: np.ndarray, locale: str | None, against_rule: float = AGAINST_RULE, rounds: int = EM_ROUNDS) -> list[np.ndarray]:
+    """EM over one source: posteriors of each pattern's parses, in their order.
+
+    Shares of layouts and of eras have a Dirichlet prior of one half each."""
+    owner = np.repeat(np.arange(len(patterns)), [len(p) for p in patterns])
+    flat = [x for p in patterns for x in p]
+    if not flat:
+        return [np.zeros(0) for _ in patterns]
+    layouts, layout = np.unique([x[0] for x in flat], return_inverse=True)
+    _, era = np.unique([x[1] for x in flat], return_inverse=True)
+    weight = np.array([prior(x[0], locale, against_rule) for x in flat])
+    share, spread = np.full(len(layouts), 1 / len(layouts)), np.full(era.max() + 1, 1 / (era.max() + 1))
+    for step in range(rounds + 1):
+        joint = weight * share[layout] * spread[era]
+        posterior = joint / np.maximum(np.bincount(owner, joint, len(patterns)), 1e-300)[owner]
+        if step == rounds:
+            break
+        share = np.bincount(layout, posterior * counts[owner], len(layouts)) + 0.5
+        spread = np.bincount(era, posterior * counts[owner], era.max() + 1) + 0.5
+        share, spread = share / share.sum(), spread / spread.sum()
+    return np.split(posterior, np.cumsum([len(p) for p in patterns])[:-1])
 
 
-def mixture_posteriors(patterns: list[frozenset[str]], counts: np.ndarray, locale: str | None, rounds: int = EM_ROUNDS) -> np.ndarray:
-    """EM over one source's layout mixture: posterior of each layout for each pattern of valid layouts."""
-    names = list(LAYOUTS)
-    weight = np.array([prior(n, locale) for n in names])
-    valid = np.array([[n in p for n in names] for p in patterns], float).reshape(len(patterns), len(names))
-    share = np.full(len(names), 1 / len(names))
-    for _ in range(rounds):
-        joint = valid * weight * share
-        posterior = joint / np.maximum(joint.sum(1, keepdims=True), 1e-300)
-        share = (posterior * counts[:, None]).sum(0) + 0.5  # a Dirichlet prior of one half each
-        share /= share.sum()
-    joint = valid * weight * share
-    return joint / np.maximum(joint.sum(1, keepdims=True), 1e-300)
+_CANDIDATES = T.StructType([T.StructField("parses", T.StringType()), T.StructField("micros", T.ArrayType(T.LongType()))])
 
 
-_CANDIDATES = T.StructType([T.StructField("layouts", T.StringType()), T.StructField("micros", T.ArrayType(T.LongType()))])
+def _era(micros: int) -> int:
+    return int((1970 + micros / 31_556_952_000_000) // ERA_YEARS)
 
 
 @F.pandas_udf(_CANDIDATES)
 def _parse(values: pd.Series, zones: pd.Series) -> pd.DataFrame:
     found = [() if v is None else candidates(v, z) for v, z in zip(values, zones, strict=True)]
-    return pd.DataFrame({"layouts": [" ".join(n for n, _ in c) for c in found], "micros": [[at for _, at in c] for c in found]})
+    return pd.DataFrame({"parses": [" ".join(f"{n}:{_era(at)}" for n, at in c) for c in found], "micros": [[at for _, at in c] for c in found]})
 
 
-def _choose(pdf: pd.DataFrame) -> pd.DataFrame:
+def _chosen(pdf: pd.DataFrame, against_rule: float) -> pd.DataFrame:
     locale = pdf["locale"].iloc[0]
     locale = None if pd.isna(locale) else locale
-    patterns = [frozenset(x.split()) for x in pdf["layouts"]]
-    posterior = mixture_posteriors(patterns, pdf["n"].to_numpy(float), locale)
-    names = list(LAYOUTS)
-    best = posterior.argmax(1)
-    ordered = [x.split() for x in pdf["layouts"]]
+    patterns = [tuple((x.split(":")[0], int(x.split(":")[1])) for x in p.split()) for p in pdf["parses"]]
+    posterior = mixture_posteriors(patterns, pdf["n"].to_numpy(float), locale, against_rule)
+    best = [int(p.argmax()) if len(p) else -1 for p in posterior]
+    names = [p[b][0] if p else None for p, b in zip(patterns, best, strict=True)]
     return pd.DataFrame({
-        "source": pdf["source"], "locale": pdf["locale"], "layouts": pdf["layouts"],
-        "pick": [o.index(names[b]) if names[b] in o else -1 for o, b in zip(ordered, best, strict=True)],
-        "layout": [names[b] if o else None for o, b in zip(ordered, best, strict=True)],
-        "posterior": posterior.max(1),
-        "by_rule": [prior(names[b], locale) == 1.0 for b in best],
+        "source": pdf["source"], "locale": pdf["locale"], "zone": pdf["zone"], "parses": pdf["parses"], "pick": best, "layout": names,
+        "posterior": [float(p[b]) if len(p) else 0.0 for p, b in zip(posterior, best, strict=True)],
+        "by_rule": [n is None or prior(n, locale, 0.0) == 1.0 for n in names],
     })
 
 
-def normalise(rows: DataFrame) -> DataFrame:
-    """rows: source, record_id, entity, value, zone, locale -> with micros, layout, posterior, by_rule, status.
+def normalise(rows: DataFrame, against_rule: float = AGAINST_RULE) -> DataFrame:
+    """rows: source, record_id, entity, value, zone, locale -> with micros, layout, posterior, status.
 
     status: 'ok', 'ambiguous' (posterior below SURE), 'against_rule' (only readings that the rule
-    excludes) or 'unusable'; micros is the chosen UTC instant in microseconds, null if unusable."""
-    parsed = rows.withColumn("_c", _parse("value", "zone")).select("*", F.col("_c.layouts").alias("layouts"), F.col("_c.micros").alias("all_micros")).drop("_c")
+    excludes; not used where the rule has no weight) or 'unusable'; micros is the chosen UTC instant
+    in microseconds, null if unusable."""
+    parsed = rows.withColumn("_c", _parse("value", "zone")).select("*", F.col("_c.parses").alias("parses"), F.col("_c.micros").alias("all_micros")).drop("_c")
     parsed = checkpointed(parsed)  # parsed once, though counted, joined and paired
-    counted = parsed.groupBy("source", "locale", "layouts").agg(F.count("*").alias("n"))
-    chosen = counted.groupBy("source", "locale").applyInPandas(_choose, "source string, locale string, layouts string, pick int, layout string, posterior double, by_rule boolean")
-    # at most sources x locales x patterns rows, so its size doesn't follow the data
+    keys = ["source", "locale", "zone"]
+    counted = parsed.groupBy(*keys, "parses").agg(F.count("*").alias("n"))
+    schema = "source string, locale string, zone string, parses string, pick int, layout string, posterior double, by_rule boolean"
+    chosen = counted.groupBy(*keys).applyInPandas(lambda pdf: _chosen(pdf, against_rule), schema)
+    # as many rows as sources have patterns: their number follows locales, zones and eras, not the data
     p, c = parsed.alias("p"), chosen.alias("c")
-    joined = p.join(c, F.col("p.source").eqNullSafe(F.col("c.source")) & F.col("p.locale").eqNullSafe(F.col("c.locale")) & (F.col("p.layouts") == F.col("c.layouts")), "left")
+    joined = p.join(c, reduce(Column.__and__, [F.col(f"p.{k}").eqNullSafe(F.col(f"c.{k}")) for k in (*keys, "parses")]), "left")
     micros = F.when(F.col("c.pick") >= 0, F.get("p.all_micros", F.col("c.pick")))
-    status = F.when(micros.isNull(), "unusable").when(~F.col("c.by_rule"), "against_rule").when((F.col("c.posterior") < SURE) & (F.size(F.array_distinct("p.all_micros")) > 1), "ambiguous").otherwise("ok")
+    ruled_out = ~F.col("c.by_rule") & F.lit(against_rule < 1)
+    status = F.when(micros.isNull(), "unusable").when(ruled_out, "against_rule").when((F.col("c.posterior") < SURE) & (F.size(F.array_distinct("p.all_micros")) > 1), "ambiguous").otherwise("ok")
     return joined.select("p.source", "p.record_id", "p.entity", "p.value", "p.zone", "p.locale", micros.alias("micros"), "c.layout", F.coalesce("c.posterior", F.lit(0.0)).alias("posterior"), status.alias("status"))
 
 
 def dated_rows(signatures: DataFrame, employees: DataFrame) -> DataFrame:
     """The two tables' moments in one shape; employee rows delivered twice are one row."""
     a = signatures.select(F.lit("signatures").alias("source"), F.col("signature_id").alias("record_id"), F.col("doc_id").cast("string").alias("entity"), F.col("date_signed").alias("value"), F.col("site_tz").alias("zone"), "locale")
-    b = employees.dropDuplicates(["row_id"]).select(F.lit("employee_rows").alias("source"), F.col("row_id").alias("record_id"), F.col("employee_no").alias("entity"), F.col("start_date").alias("value"), F.col("office_tz").alias("zone"), "locale")
+    b = employees.select(F.lit("employee_rows").alias("source"), F.col("row_id").alias("record_id"), F.col("employee_no").alias("entity"), F.col("start_date").alias("value"), F.col("office_tz").alias("zone"), "locale").distinct()
     return a.unionByName(b)
 
 
@@ -259,4 +280,4 @@ def same_instant_pairs(instants: DataFrame) -> DataFrame:
     usable = instants.filter(F.col("micros").isNotNull() & F.col("entity").isNotNull() & F.col("status").isin("ok", "ambiguous")).select("source", "entity", "micros", "record_id")
     a, b = usable.alias("a"), usable.alias("b")
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("source", "entity", "micros")]
-    return a.join(b, [*on, F.col("a.record_id") < F.col("b.record_id")]).select(F.col("a.source").alias("record_table"), F.col("a.record_id").alias("id_a"), F.col("b.record_id").alias("id_b")).distinct()
+    return a.join(b, [*on, F.col("a.record_id") < F.col("b.record_id")]).select(F.col("a.source").alias("record_table"), F.col("a.record_id").alias("id_a"), F.col("b.record_id").alias("id_b"))
