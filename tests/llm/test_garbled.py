@@ -58,3 +58,16 @@ def test_passages_garbled_in_different_ways():
 def test_a_passage_that_stays_garbled_is_not_restorable():
     affected, _, _, whole = G.restore("caf├® is shut, " + "x╔y╔z w╔w╔w q╔q╔q")
     assert affected and not whole
+
+
+def test_entities_are_decoded_in_spans_only():
+    affected, restored, _, whole = G.restore("The caf&Atilde;&copy; paid &Acirc;&pound;7 &amp; the buyer&acirc;&euro;&trade;s bill; &eacute;, x &#195;&#169;")
+    assert affected and whole and restored == "The café paid £7 &amp; the buyer’s bill; &eacute;, x é"
+    for sound in ("caf&eacute; &copy; 2024 &amp;", "“&Atilde;&copy;” was in the export", "&Atilde;", "a&nbsp;b &unknownname;"):
+        assert not G.restore(sound)[0]
+
+
+def test_quotation_marks_that_became_letters():
+    text = "it says “scanned copy” and “annex”."
+    assert G.restore(text.encode("cp1252").decode("mac_roman"))[:2] == (True, text)
+    assert not G.restore("où ì, î; il dîne")[0]

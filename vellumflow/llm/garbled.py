@@ -6,6 +6,9 @@ are decoded; everything else stays. The code page whose spans explain most chara
 first, and rounds repeat until nothing more is found, so text garbled twice or by two code pages
 in different passages is restored as well.
 
+Characters may be written as HTML entities (`&Atilde;&copy;`); spans of such are decoded in the same
+way, and entities outside of spans stay as they are.
+
 Three kinds have no multibyte structure and follow the same idea of mapping back to bytes:
 UTF-16 read byte by byte (zero bytes at every other place), one code page read as another
 (words that no language writes, mended by a pair of code pages), and characters that were lost
@@ -18,6 +21,7 @@ are judged alike; the stated encoding and its confidence aren't used.
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
 from bisect import bisect_right
@@ -128,6 +132,43 @@ def _undo_multibyte(text: str) -> tuple[str, str] | None:
     return "".join([*parts, text[at:]]), f"utf-8 as {best[1]}"
 
 
+_ENTITY = re.compile(r"&(?:#[0-9]{2,7}|#[xX][0-9A-Fa-f]{2,6}|[A-Za-z][A-Za-z0-9]{1,30});")
+
+
+def _undo_entities(text: str) -> tuple[str, str] | None:
+    """The same where the misread characters stand as entities: spans over the text with those written out."""
+    flat, places, at = [], [], 0
+    for m in _ENTITY.finditer(text):
+        char = html.unescape(m.group())
+        if len(char) != 1 or char < "\x80":
+            continue
+        flat += [text[at : m.start()], char]
+        places.append((sum(map(len, flat[-2:])) + (places[-1][0] if places else 0), m.end()))
+        at = m.end()
+    if not places:
+        return None
+    plain = "".join([*flat, text[at:]])
+    runs = [(m.start(), m.group()) for m in _RUN.finditer(plain)]
+    found = [(codec, multibyte_spans(plain, codec, runs)) for codec in READ_AS] if runs else []
+    codec, spans = max(found, key=lambda x: sum(e - s for s, e, _ in x[1]), default=("", []))
+    if not spans:
+        return None
+    flat_ends = [p for p, _ in places]
+
+    def source(i: int) -> int:
+        """Where the flat text's place i stands in the text: behind the last entity that ends at or before it."""
+        k = bisect_right(flat_ends, i) - 1
+        return i if k < 0 else places[k][1] + i - flat_ends[k]
+
+    parts, at = [], 0
+    for start, end, decoded in spans:
+        # a span may begin with an entity, which is longer than its one character
+        begin = source(start)
+        parts += [text[at:begin], decoded]
+        at = source(end)
+    return "".join([*parts, text[at:]]), f"utf-8 as {codec} in entities"
+
+
 _ZEROS = re.compile(r"(?:[\x00-\xff]\x00){4,}|(?:\x00[\x00-\xff]){4,}|(?:[\x00-\xff]\x04){4,}|(?:\x04[\x00-\xff]){4,}")
 _NEAR = re.compile(r"[\x00\x04]")
 
@@ -284,18 +325,41 @@ def _undo_swap(text: str, beside: bool = False) -> tuple[str, str] | None:
     return "".join([*parts, text[at:]]), f"{right} as {wrong}"
 
 
+@lru_cache(None)
+def _quote_letters() -> tuple[tuple[str, str, re.Pattern[str]], ...]:
+    """(wrong, right, pattern): pairs of code pages under which the quotation marks of one are letters of the other."""
+    out = []
+    for wrong, right in SWAPS:
+        try:
+            first, last = ("“".encode(right).decode(wrong), "”".encode(right).decode(wrong))
+        except (UnicodeDecodeError, UnicodeEncodeError):
+            continue
+        if first.isalpha() and last.isalpha():
+            out.append((wrong, right, re.compile(rf"(?<!\w){first}(?=[A-Za-z])([^{first}{last}\n]*)(?<=[A-Za-z.,!?]){last}(?!\w)")))
+    return tuple(out)
+
+
+def _undo_quotes(text: str) -> tuple[str, str] | None:
+    """Quotations whose marks became letters glued to the first and the last word."""
+    for wrong, right, pattern in _quote_letters():
+        mended = pattern.sub(r"“\1”", text)
+        if mended != text:
+            return mended, f"{right} as {wrong}"
+    return None
+
+
 def _lost(text: str) -> bool:
     return any(not _quoted(text, m.start(), m.end()) for m in re.finditer("�+", text))
 
 
 def restore(text: str | None) -> tuple[bool, str | None, list[str], bool]:
     """(affected, text as far as it can be had, steps taken, whole)."""
-    if not text or not _SUSPECT.search(text):
+    if not text or not (_SUSPECT.search(text) or _ENTITY.search(text)):
         return False, text, [], True
     steps: list[str] = []
     now = text
     seen = {now}
-    while (done := _undo_utf16(now) or _undo_multibyte(now) or _undo_swap(now, bool(steps))) is not None and done[0] not in seen:
+    while (done := _undo_utf16(now) or _undo_entities(now) or _undo_multibyte(now) or _undo_swap(now, bool(steps)) or _undo_quotes(now)) is not None and done[0] not in seen:
         now, step = done
         seen.add(now)
         steps.append(step)
@@ -316,7 +380,7 @@ def _restore(texts: pd.Series) -> pd.DataFrame:
 def garbled(extractions: DataFrame, id_column: str = "extraction_id", text: str = "text") -> DataFrame:
     """Affected rows: id, steps, restorable, restored_text (null where characters are lost or a passage stays garbled).
 
-    Texts of ASCII characters alone are set aside by the JVM before Python sees them."""
-    suspect = extractions.select(id_column, text).filter(F.col(text).rlike(r"[^\x01-\x7f]"))
+    Texts of ASCII characters alone, without entities, are set aside by the JVM before Python sees them."""
+    suspect = extractions.select(id_column, text).filter(F.col(text).rlike(r"[^\x01-\x7f]|&(?:#[0-9]{2,7}|#[xX][0-9A-Fa-f]{2,6}|[A-Za-z][A-Za-z0-9]{1,30});"))
     judged = suspect.withColumn("_r", _restore(text)).filter("_r.affected")
     return judged.select(id_column, F.col("_r.steps").alias("steps"), F.col("_r.whole").alias("restorable"), F.when(F.col("_r.whole"), F.col("_r.restored")).alias("restored_text"))
