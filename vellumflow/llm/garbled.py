@@ -174,7 +174,7 @@ _NEAR = re.compile(r"[\x00\x04]")
 
 
 def _undo_utf16(text: str) -> tuple[str, str] | None:
-    m = _ZEROS.search(text)
+    m = _ZEROS.search(text) if "\x00" in text or "\x04" in text else None
     if not m:
         return None
     start = end = m.start()
@@ -200,7 +200,9 @@ def _undo_utf16(text: str) -> tuple[str, str] | None:
 
 
 # ---- one code page read as another --------------------------------------------------------
-_WORD = re.compile(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e“”„…–—•\u2000-\u200a\u3000]+")
+#: Words with a character beyond ASCII; the separators beyond ASCII are left out of the class.
+_BEYOND = "[^\x00-\x7f“”„…–—•\u2000-\u200a\u3000]"
+_WORD = re.compile(f"(?<![0-9A-Za-z\x7f])[0-9A-Za-z\x7f]*+{_BEYOND}(?:[0-9A-Za-z\x7f]|{_BEYOND})*+")
 _USUAL = set("áéíóúàèìòùâêîôûäëïöüãõñçåøæœßÿýąćęłńśźżščřžůěďťňőűğışăîșțđ")
 _ORDINARY_SIGNS = set("’‘'°²³½¼¾º¹ª€£¥§©®™«»¿¡·µ‰±×№†‡‹›\xa0\xad  ​﻿")
 
@@ -287,7 +289,7 @@ def _swapped(word: str, wrong: str, right: str) -> str | None:
 
 
 def _words(text: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text) if not m.group().isascii()]
+    return [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text)]
 
 
 def _odd(text: str, words: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -326,8 +328,8 @@ def _undo_swap(text: str, beside: bool = False) -> tuple[str, str] | None:
 
 
 @lru_cache(None)
-def _quote_letters() -> tuple[tuple[str, str, re.Pattern[str]], ...]:
-    """(wrong, right, pattern): pairs of code pages under which the quotation marks of one are letters of the other."""
+def _quote_letters() -> tuple[tuple[str, str, str, str, re.Pattern[str]], ...]:
+    """(wrong, right, letters, pattern): pairs of code pages under which the quotation marks of one are letters of the other."""
     out = []
     for wrong, right in SWAPS:
         try:
@@ -335,15 +337,14 @@ def _quote_letters() -> tuple[tuple[str, str, re.Pattern[str]], ...]:
         except (UnicodeDecodeError, UnicodeEncodeError):
             continue
         if first.isalpha() and last.isalpha():
-            out.append((wrong, right, re.compile(rf"(?<!\w){first}(?=[A-Za-z])([^{first}{last}\n]*)(?<=[A-Za-z.,!?]){last}(?!\w)")))
+            out.append((wrong, right, first, last, re.compile(rf"(?<!\w){first}(?=[A-Za-z])([^{first}{last}\n]*)(?<=[A-Za-z.,!?]){last}(?!\w)")))
     return tuple(out)
 
 
 def _undo_quotes(text: str) -> tuple[str, str] | None:
     """Quotations whose marks became letters glued to the first and the last word."""
-    for wrong, right, pattern in _quote_letters():
-        mended = pattern.sub(r"“\1”", text)
-        if mended != text:
+    for wrong, right, first, last, pattern in _quote_letters():
+        if first in text and last in text and (mended := pattern.sub(r"“\1”", text)) != text:
             return mended, f"{right} as {wrong}"
     return None
 
@@ -364,7 +365,7 @@ def restore(text: str | None) -> tuple[bool, str | None, list[str], bool]:
         seen.add(now)
         steps.append(step)
     lost = _lost(now)
-    left = lost or bool(_ZEROS.search(now) or _odd(now, _words(now)))
+    left = lost or bool(("\x00" in now or "\x04" in now) and _ZEROS.search(now) or _odd(now, _words(now)))
     return bool(steps) or lost, unicodedata.normalize("NFC", now) if steps else now, [*steps, "lost"] if lost else steps, not left
 
 
