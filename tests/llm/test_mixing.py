@@ -30,17 +30,29 @@ def test_shares_and_caps(spark):
     assert used.filter("doc_id >= 2000 AND doc_id < 2500").count() == 0
 
 
-def test_gradient_meets_targets_with_soft_members(spark):
+def test_gradient_meets_targets_with_soft_members():
     rng = np.random.default_rng(0)
-    p = rng.dirichlet([0.3, 0.3, 0.3], 200)
-    rows = [(x.tolist(), int(t)) for x, t in zip(p, rng.integers(1, 100, 200), strict=True)]
-    groups = spark.createDataFrame(rows, "posterior array<double>, tokens long")
+    p, tokens = rng.dirichlet([0.3, 0.3, 0.3], 200), rng.integers(1, 100, 200)
     shares, caps = np.array([0.5, 0.5]), np.array([2.0, 2.0])
-    history, total = M.fit_rates(groups, shares, caps, steps=200)
-    r = M.rates(p, history, caps)
-    assert r.min() >= 0 and r.max() <= 2
-    reached = p[:, :2].T @ (r * np.array([t for _, t in rows]))
-    assert abs(reached[0] - reached[1]) / total < 0.05
+    sums = p[:, :2] * tokens[:, None]
+    rate, total = M.fit_rates(sums, caps[sums.argmax(1)], shares)
+    assert rate.min() >= 0 and rate.max() <= 2
+    assert np.abs(rate @ sums - total / 2).max() < 1e-4 * total
+    assert M.fit_rates(sums[:0], caps[:0], shares)[1] == 0 and M.fit_rates(sums * 0, caps[sums.argmax(1)], shares)[1] == 0
+
+
+def test_gradient_with_unequal_cells_and_caps():
+    sums = np.array([[1e9, 0, 0], [0, 1e5, 0], [0, 0, 3e6], [40.0, 30, 30], [0, 5e4, 5e4]])
+    shares, limit = np.array([0.6, 0.1, 0.3]), np.array([1.0, 4, 2, 1, 3])
+    rate, total = M.fit_rates(sums, limit, shares)
+    assert (rate >= 0).all() and (rate <= limit).all() and np.abs(rate @ sums / (total * shares) - 1).max() < 1e-4
+
+
+def test_cells_are_bounded_and_sums_exact(spark):
+    p = np.random.default_rng(3).dirichlet([1, 1, 1], 500).round(4)
+    df = spark.createDataFrame([(x.tolist(), i + 1, int(x[:2].argmax())) for i, x in enumerate(p)], "posterior array<double>, tokens int, at int").withColumn("cell", M.cell(F.col("posterior")))
+    cells, at, sums = M.cell_sums(df, 2)
+    assert len(cells) <= 2 * 165 and np.allclose(sums.sum(0), (p[:, :2] * np.arange(1, 501)[:, None]).sum(0))
 
 
 def test_empty(spark):

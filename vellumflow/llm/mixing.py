@@ -2,11 +2,13 @@
 
 Each document has posteriors over the sources: one for its own source if that is written in any
 spelling of a known one, else what a naive Bayes classifier says, whose counts come from all
-documents with a source. Rates (how often a document is used) minimise the squared distance of
-each source's expected tokens from its target by projected gradient: a step needs the sources'
-totals only, which Spark sums over documents grouped by posterior, and the projection keeps a
-rate between 0 and the cap of its likeliest target. Rates then become whole numbers. A document that
-belongs to several sources is used once more if its hash is below the fractional part. The
+documents with a source. Documents whose posteriors round to the same multiples of 1 / `GRID` are a
+cell. Spark sums each cell's tokens and its expected tokens by target, and since these sums are of
+the posteriors themselves, the expected totals at any rates of the cells are exact. Rates (how often
+a document is used) minimise the squared distance of each target's expected tokens from its share
+by projected gradient over the cells, which are bounded in number; the projection keeps a rate
+between 0 and the cap of the cell's likeliest target. Rates then become whole numbers. A document
+that belongs to several sources is used once more if its hash is below the fractional part. The
 documents of one source alone take what these leave of the source's target: they are put in hash
 order, and those within the fractional part's share of the tokens are used once more, so a
 source's expected tokens miss its target by less than one document.
@@ -20,7 +22,7 @@ each target by its posterior, however small. Sources without a target, and docum
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,8 +32,11 @@ from pyspark.sql import functions as F
 
 from vellumflow.session import checkpointed
 
-STEPS = 40
+#: Posteriors of one cell round to the same multiples of 1 / GRID: at most C(GRID + k + 1, k + 1) cells for k targets and the rest, 43,758 for nine.
+GRID = 8
 FEATURES = 2048
+#: Words that say half of what a document of endless length would say about its source.
+EVIDENCE = 20
 BUCKETS = 1024
 OTHER = "(other)"
 
@@ -74,7 +79,7 @@ def memberships(documents: DataFrame, targets: list[str]) -> DataFrame:
             for features in part["features"]:
                 posterior = np.zeros(len(sources))
                 if classes:
-                    scores = prior + (like[:, features].sum(1) / max(1, len(features)) * min(len(features), 20) if len(features) else 0)
+                    scores = prior + like[:, features].sum(1) * (EVIDENCE / (EVIDENCE + len(features)))
                     p = np.exp(scores - scores.max())
                     posterior[classes] = (p / p.sum()).round(4)
                 rows.append(posterior.tolist())
@@ -86,57 +91,43 @@ def memberships(documents: DataFrame, targets: list[str]) -> DataFrame:
     return sure.unionByName(guessed)
 
 
-def limits(posteriors: np.ndarray, caps: np.ndarray) -> np.ndarray:
-    """The cap of each posterior's likeliest target."""
-    return caps[posteriors[:, : len(caps)].argmax(1)]
+def cell(posterior: Column) -> Column:
+    """The cell of a posterior as text: multiples of 1 / GRID, rounded down."""
+    return F.concat_ws(",", F.transform(posterior, lambda p: F.floor(p * GRID + 1e-9).cast("string")))
 
 
-def rates(posteriors: np.ndarray, history: np.ndarray, caps: np.ndarray) -> np.ndarray:
-    """The rate of each posterior after all steps so far, from the residuals of each step: no rate needs to be stored."""
-    limit = limits(posteriors, caps)
-    rate = np.zeros(len(posteriors))
-    for residual in history:
-        rate = np.clip(rate - posteriors[:, : len(residual)] @ residual, 0, limit)
-    return rate
+def cell_sums(usable: DataFrame, k: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(cells, their likeliest target, expected tokens by cell and target); the one aggregate that the fit needs."""
+    sums = usable.groupBy("cell", "at").agg(*[F.sum(F.col("posterior")[j] * F.col("tokens")).alias(f"s{j}") for j in range(k)])
+    rows = sums.orderBy("cell", "at").collect()  # bounded, see GRID: a cell has at most k likeliest targets
+    return [r["cell"] for r in rows], np.array([r["at"] for r in rows], int), np.array([[r[f"s{j}"] for j in range(k)] for r in rows], float).reshape(len(rows), k)
 
 
-def _totals(groups: DataFrame, rate: Callable[[np.ndarray], np.ndarray], k: int) -> np.ndarray:
-    """Expected tokens of each target at the rates of the posteriors; summed by partition, then in Spark."""
+def fit_rates(sums: np.ndarray, limit: np.ndarray, shares: np.ndarray, tolerance: float = 1e-6) -> tuple[np.ndarray, float]:
+    """(rate of each cell, total tokens aimed at) for expected tokens by cell and target, and the cap of each cell.
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros(k)
-        for part in batches:
-            if len(part):
-                p = np.stack(part["posterior"].to_numpy())
-                weight = part["tokens"].to_numpy(float) * rate(p)
-                sums += p[:, :k].T @ weight
-        yield pd.DataFrame({"at": np.arange(k), "n": sums})
-
-    out = np.zeros(k)
-    for r in groups.mapInPandas(partial, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():
-        out[r["at"]] = r["n"]
-    return out
-
-
-def fit_rates(groups: DataFrame, shares: np.ndarray, caps: np.ndarray, steps: int = STEPS, tolerance: float = 1e-6) -> tuple[np.ndarray, float]:
-    """(residual of each step, total tokens aimed at) for groups of posterior, tokens.
-
-    Ends when no target is further than `tolerance` of its size from being met."""
-    k = len(shares)
-    capacity = _totals(groups, lambda p: np.ones(len(p)), k)
-    most = _totals(groups, lambda p: limits(p, caps), k)
-    reachable = (capacity > 0) & (shares > 0)
+    Accelerated projected gradient, each target's distance in units of its goal, until no target is
+    further from it than `tolerance` or the distance no longer falls."""
+    reachable = (sums.sum(0) > 0) & (shares > 0)
     if not reachable.any():
-        return np.zeros((0, k)), 0.0
-    wanted = np.where(reachable, shares, 0) / shares[reachable].sum()
-    total = float((most[reachable] / wanted[reachable]).min())
-    history = np.zeros((0, k))
-    for _ in range(steps):
-        off = _totals(groups, lambda p, h=history: rates(p, h, caps), k) - total * wanted
-        if np.abs(off[reachable] / (total * wanted[reachable])).max() < tolerance:
-            break
-        history = np.vstack([history, np.where(reachable, off / np.maximum(capacity, 1), 0)])
-    return history, total
+        return np.zeros(len(sums)), 0.0
+    wanted = shares[reachable] / shares[reachable].sum()
+    total = float((limit @ sums[:, reachable] / wanted).min())
+    gains = sums[:, reachable] / (total * wanted)  # a cell's share of each goal at rate 1
+    scale = 1 / np.maximum(gains.sum(1), 1e-300)  # a diagonal metric, or few large cells set the step for all
+    step = 1 / np.linalg.eigvalsh((gains * scale[:, None]).T @ gains).max()
+    rate, ahead, pace, loss = np.zeros(len(sums)), np.zeros(len(sums)), 1.0, np.inf
+    while True:
+        new = np.clip(ahead - step * scale * (gains @ (ahead @ gains - 1)), 0, limit)
+        off = new @ gains - 1
+        now = float(off @ off)
+        if np.abs(off).max() < tolerance or (now >= loss * (1 - 1e-12) and pace == 1.0):
+            return new, total
+        if now >= loss:  # overshot: begin again without the momentum
+            ahead, pace = rate, 1.0
+            continue
+        following = (1 + np.sqrt(1 + 4 * pace**2)) / 2
+        ahead, rate, pace, loss = new + (pace - 1) / following * (new - rate), new, following, now
 
 
 def mixture(members: DataFrame, targets: pd.DataFrame) -> DataFrame:
@@ -146,20 +137,17 @@ def mixture(members: DataFrame, targets: pd.DataFrame) -> DataFrame:
     names, shares, caps = targets["source"].tolist(), targets["target_share"].to_numpy(float), targets["max_repeats"].to_numpy(float)
     k = len(names)
     ours = F.slice("posterior", 1, k)
-    usable = checkpointed(members.filter((F.col("tokens") > 0) & (F.array_max(ours) > 0)).withColumn("at", (F.array_position(ours, F.array_max(ours)) - 1).cast("int")))
-    groups = usable.groupBy("posterior").agg(F.sum("tokens").alias("tokens"))
-    history, total = fit_rates(checkpointed(groups), shares, caps)
+    placed = members.filter((F.col("tokens") > 0) & (F.array_max(ours) > 0))
+    usable = checkpointed(placed.withColumn("at", (F.array_position(ours, F.array_max(ours)) - 1).cast("int")).withColumn("cell", cell(F.col("posterior"))))
+    cells, at, sums = cell_sums(usable, k)
+    rate, total = fit_rates(sums, caps[at] if len(at) else np.zeros(0), shares)
     by_target = lambda values: F.get(F.array(*[F.lit(float(v)) for v in values]), F.col("at"))
     alone = F.array_max("posterior") == 1
 
-    def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            own = rates(np.stack(part["posterior"].to_numpy()), history, caps) if len(part) else np.zeros(0)
-            yield part.assign(rate=own)
-
     spot = F.xxhash64("doc_id", F.lit(20))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(1 << 20)) / (1 << 20)
-    several = usable.filter(~alone).mapInPandas(rate, "doc_id long, tokens long, posterior array<double>, at int, rate double")
+    rated = usable.sparkSession.createDataFrame([(c, int(a), float(r)) for c, a, r in zip(cells, at, rate, strict=True)], "cell string, at int, rate double")
+    several = usable.filter(~alone).join(F.broadcast(rated), ["cell", "at"])
     several = several.withColumn("base", F.floor(F.col("rate") + 1e-9)).withColumn("repeats", F.least(by_target(caps), F.col("base") + F.when(draw < F.col("rate") - F.col("base") - 1e-9, 1).otherwise(0)).cast("long"))
     several = checkpointed(several.select("doc_id", "tokens", "posterior", "at", "repeats").filter("repeats > 0"))
 
