@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 
@@ -24,7 +25,11 @@ def test_pieces_join_to_the_text(spark):
     texts = {i: "".join(pick.choice(["word ", "Sentence. ", "\n", "\n\n", "x", "é🙂", "。"]) for _ in range(pick.randint(0, 400))) for i in range(60)}
     texts |= {100: None, 101: "", 102: "y" * 5000, 103: "a" * 300, 104: "a" * 301}
     df = spark.createDataFrame([(i, t, 1) for i, t in texts.items()], "extraction_id long, text string, offset long")
-    check(P.pieces(P.ranges_of_texts(df, "extraction_id", "text", SMALL), SMALL).collect(), texts, SMALL)
+    ranges = P.ranges_of_texts(df, "extraction_id", "text", SMALL)
+    rows = P.pieces(ranges, SMALL).collect()
+    check(rows, texts, SMALL)
+    assert {r["item"]: r["n_pieces"] for r in P.piece_counts(ranges, SMALL).collect()} == Counter(r["item"] for r in rows)
+    assert "Exchange" not in P.pieces(ranges, SMALL)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_files_by_byte_ranges(spark, tmp_path):
@@ -47,7 +52,7 @@ def test_best_boundary_wins(text, kind):
 def test_chunk_columns(spark):
     e = spark.createDataFrame([(1, "a" * 301), (2, "b"), (3, None), (4, "")], "extraction_id long, text string")
     r = spark.createDataFrame([(10, 1, 9, False), (10, 1, 9, False), (11, 2, None, True), (12, 3, 1, True), (13, 4, 1, None), (14, 99, 5, True)], "result_id long, extraction_id long, chunks_processed long, is_chunked boolean")
-    counted = P.cut_table(P.ranges_of_texts(e, "extraction_id", "text", SMALL), SMALL).groupBy("item").count().withColumnRenamed("count", "n_pieces")
+    counted = P.piece_counts(P.ranges_of_texts(e, "extraction_id", "text", SMALL), SMALL)
     got = {x["result_id"]: (x["chunks_processed"], x["is_chunked"]) for x in P.with_chunk_columns(r, e, counted, SMALL).collect()}
     assert got == {10: (5, True), 11: (1, False), 12: (0, False), 13: (0, False), 14: (None, None)}
 

@@ -9,8 +9,9 @@ characters up to k * `stride`, so cuts need no order of work and two cuts are ne
 last of equals). Where there is none, the window is widened to what the limit allows with the
 cuts before and behind where they are: first for even k, then for odd k, so a cut depends on the
 text of two windows before and behind only. A text without a boundary even there is cut at
-k * stride. Cuts of all ranges, stitched by their
-offsets, become pieces, and each piece is cut out of the one or more ranges that it touches.
+k * stride. A cut's number is its address, so the boundary tables of two ranges meet without a
+join or a sort: the halo reaches back far enough for a range to find the cut before its first one as
+the range before it does, and to emit every piece that it ends by offset.
 
 Pieces are at most `limit` characters with the overlap, which begins at a word start within the
 last `overlap` characters of the piece before. Without the overlaps they join to the exact text.
@@ -25,7 +26,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ class PieceOptions:
 
     @property
     def halo(self) -> int:
-        return 4 * self.stride + self.slack + self.overlap + 64
+        return 6 * self.stride + self.slack + self.overlap + 64
 
 
 #: Boundaries from best to worst; a cut stands behind the match.
@@ -58,6 +59,8 @@ BOUNDARIES = (
     re.compile(r"[.!?…]+[\"'”’»)\]]*\s+|[。！？]+[”’」』）]*"),
     re.compile(r"\s+"),
 )
+#: Ranges of a file whose prefix sums are one task.
+BLOCK = 4096
 #: Characters that a boundary may be read ahead of and behind its window.
 LOOK = 8
 _WORD_START = re.compile(r"(?<=\s)\S")
@@ -83,14 +86,14 @@ def _overlap_start(text: str, cut: int, overlap: int) -> int:
     return m.start() if m else low
 
 
-def range_cuts(text: str, halo: int, offset: int, last: bool, options: PieceOptions) -> list[tuple[int, int, int]]:
-    """(cut, kind, overlap start) in item offsets, of the cuts whose second next window ends in a range (in the last, of all that are left).
+def range_pieces(text: str, halo: int, offset: int, last: bool, options: PieceOptions) -> list[tuple[int, int, int, int, int]]:
+    """(piece_no, start, fresh_start, end, kind) in item offsets, of the pieces whose second next window ends in a range (in the last, of all that are left).
 
     text is the range behind `halo` characters of the range before; offset is where the range begins."""
     base, end, stride, reach = offset - halo, offset - halo + len(text), options.stride, options.stride + options.slack
     first = max(1, (offset - LOOK) // stride - 1)
     stop = -(-end // stride) if last else (end - LOOK) // stride - 1
-    known = range(max(1, first - 2), stop if last else stop + 2)
+    known = range(max(1, first - 4), stop if last else stop + 2)
     cuts = {0: (0, -1)} | ({stop: (end, -1)} if last else {})
     for k in known:
         cut, kind = best_cut(text, k * stride - options.slack - base, k * stride - base)
@@ -102,17 +105,29 @@ def range_cuts(text: str, halo: int, offset: int, last: bool, options: PieceOpti
                 cut, kind = best_cut(text, max(behind - reach - 1, before) - base, min(before + reach, behind - 1) - base)
                 if kind < len(BOUNDARIES):
                     cuts[k] = base + cut, kind
-    return [(*cuts[k], base + _overlap_start(text, cuts[k][0] - base, options.overlap)) for k in range(first, stop)]
+    out = []
+    for k in range(first, stop + last):
+        fresh = cuts[k - 1][0]
+        start = base + _overlap_start(text, fresh - base, options.overlap) if k > 1 else 0
+        out.append((k - 1, start, fresh, *cuts[k]))
+    return out
 
 
 def ranges_of_texts(df: DataFrame, id_column: str, text: str, options: PieceOptions) -> DataFrame:
     """item, range_no, offset, halo, length, last, body: the ranges of each text beyond the threshold."""
-    size = options.range_chars
+    size, halo = options.range_chars, options.halo
+    # one pass over a text cuts it into ranges; a range's halo is what ends the few ranges before it
+    parts = F.regexp_extract_all("_t", F.lit(rf"(?s)(.{{1,{size}}}+)"), F.lit(1))
     long = df.select(F.col(id_column).alias("item"), F.col(text).alias("_t"), F.length(text).cast("long").alias("length")).filter(F.col("length") > options.threshold)
-    cut = long.withColumn("range_no", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size))))
-    offset = F.col("range_no") * size
-    halo = F.least(offset, F.lit(options.halo))
-    return cut.select("item", "range_no", offset.alias("offset"), halo.cast("int").alias("halo"), "length", (offset + size >= F.col("length")).alias("last"), F.substring("_t", offset - halo + 1, halo + size).alias("body"))
+    behind = -(-halo // size)
+
+    def with_halo(body: Column, i: Column) -> Column:
+        before = F.least(i * size, F.lit(halo)).cast("int")
+        lead = F.right(F.array_join(F.slice("_parts", F.greatest(F.lit(1), i - behind + 1), F.least(i, F.lit(behind))), ""), before)
+        return F.struct(i.cast("long").alias("range_no"), (i.cast("long") * size).alias("offset"), before.alias("halo"), F.when(i == 0, body).otherwise(F.concat(lead, body)).alias("body"))
+
+    ranges = long.select("item", "length", parts.alias("_parts")).select("item", "length", F.inline(F.transform("_parts", with_halo)))
+    return ranges.select("item", "range_no", "offset", "halo", "length", (F.col("offset") + size >= F.col("length")).alias("last"), "body")
 
 
 def _aligned(path: str, start: int, size: int, before: int) -> tuple[str, str]:
@@ -154,42 +169,33 @@ def ranges_of_files(spark: SparkSession, paths: Sequence[tuple[str, int]], optio
             yield part.assign(halo=halos, body=bodies)
 
     sized = plan.mapInPandas(count, "item string, range_no long, n long")
-    ordered = W.partitionBy("item").orderBy("range_no")
-    placed = sized.withColumn("upto", F.sum("n").over(ordered)).withColumn("length", F.sum("n").over(W.partitionBy("item")))
+    sized = sized.withColumn("block", F.floor(F.col("range_no") / BLOCK))
+    # prefix sums in blocks, so that a giant file's ranges are never one task
+    blocks = sized.groupBy("item", "block").agg(F.sum("n").alias("_b"))
+    before = blocks.withColumn("_before", F.sum("_b").over(W.partitionBy("item").orderBy("block")) - F.col("_b")).withColumn("length", F.sum("_b").over(W.partitionBy("item"))).drop("_b")
+    inner = sized.withColumn("_in", F.sum("n").over(W.partitionBy("item", "block").orderBy("range_no")))
+    placed = inner.join(before, ["item", "block"]).withColumn("upto", F.col("_before") + F.col("_in"))
     placed = placed.filter(F.col("length") > options.threshold).select("item", "range_no", (F.col("upto") - F.col("n")).alias("offset"), "length", (F.col("upto") == F.col("length")).alias("last"))
     return placed.mapInPandas(read, "item string, range_no long, offset long, length long, last boolean, halo int, body string").select("item", "range_no", "offset", "halo", "length", "last", "body")
 
 
-def cut_table(ranges: DataFrame, options: PieceOptions) -> DataFrame:
-    """item, cut, kind, overlap_start, length of all ranges' cuts, and each item's end as its last cut."""
+def pieces(ranges: DataFrame, options: PieceOptions) -> DataFrame:
+    """item, piece_no, start, fresh_start, end, kind, text; text[start:fresh_start] repeats the piece before."""
 
-    @F.pandas_udf("array<struct<cut:long,kind:int,overlap_start:long>>")
-    def cuts(body: pd.Series, halo: pd.Series, offset: pd.Series, last: pd.Series) -> pd.Series:
-        return pd.Series([[{"cut": c, "kind": k, "overlap_start": o} for c, k, o in range_cuts(b, int(h), int(f), bool(x), options)] for b, h, f, x in zip(body, halo, offset, last, strict=True)])
+    @F.pandas_udf("array<struct<piece_no:long,start:long,fresh_start:long,end:long,kind:int,text:string>>")
+    def emitted(body: pd.Series, halo: pd.Series, offset: pd.Series, last: pd.Series) -> pd.Series:
+        out = []
+        for b, h, f, x in zip(body, halo, offset, last, strict=True):
+            base = int(f) - int(h)
+            out.append([{"piece_no": n, "start": s, "fresh_start": c, "end": e, "kind": k, "text": b[s - base : e - base]} for n, s, c, e, k in range_pieces(b, int(h), int(f), bool(x), options)])
+        return pd.Series(out)
 
-    found = ranges.select("item", "length", F.inline(cuts("body", "halo", "offset", "last")))
-    ends = ranges.filter("last").select("item", "length", F.col("length").alias("cut"), F.lit(-1).alias("kind"), F.col("length").alias("overlap_start"))
-    return found.unionByName(ends)
+    return ranges.select("item", F.inline(emitted("body", "halo", "offset", "last")))
 
 
-def pieces(ranges: DataFrame, options: PieceOptions) -> DataFrame:
-    """item, piece_no, start, fresh_start, end, kind, text; text[start:fresh_start] repeats the piece before."""
-    order = W.partitionBy("item").orderBy("cut")
-    spans = cut_table(ranges, options).select(
-        "item", (F.row_number().over(order) - 1).alias("piece_no"), F.coalesce(F.lag("overlap_start").over(order), F.lit(0)).alias("start"), F.coalesce(F.lag("cut").over(order), F.lit(0)).alias("fresh_start"), F.col("cut").alias("end"), "kind"
-    )
-    # a piece meets the ranges whose own characters it touches: a join on item and a coarse grid of offsets
-    grid = options.range_chars
-    body = ranges.select("item", "range_no", "offset", F.expr("substring(body, halo + 1)").alias("own"))
-    body = body.withColumn("stop", F.col("offset") + F.length("own"))
-    cells = body.withColumn("cell", F.explode(F.sequence(F.floor(F.col("offset") / grid), F.floor((F.col("stop") - 1) / grid))))
-    wanted = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / grid), F.floor((F.col("end") - 1) / grid))))
-    met = wanted.join(cells, ["item", "cell"]).filter((F.col("start") < F.col("stop")) & (F.col("end") > F.col("offset")))
-    begin, stop = F.greatest("start", "offset"), F.least("end", "stop")
-    part = F.substring(F.col("own"), (begin - F.col("offset") + 1).cast("int"), (stop - begin).cast("int"))
-    keys = ["item", "piece_no", "start", "fresh_start", "end", "kind"]
-    joined = met.select(*keys, F.struct(F.col("offset"), part.alias("t")).alias("part")).groupBy(*keys).agg(F.array_sort(F.collect_set("part")).alias("parts"))
-    return joined.select(*keys, F.array_join(F.transform("parts", lambda p: p["t"]), "").alias("text"))
+def piece_counts(ranges: DataFrame, options: PieceOptions) -> DataFrame:
+    """item, n_pieces: a cut falls due at each multiple of the stride before the end."""
+    return ranges.filter("last").select("item", F.ceil(F.col("length") / options.stride).cast("long").alias("n_pieces"))
 
 
 def with_chunk_columns(results: DataFrame, extractions: DataFrame, counted: DataFrame, options: PieceOptions) -> DataFrame:

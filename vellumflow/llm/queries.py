@@ -33,7 +33,7 @@ def p1_restored(spark: SparkSession, d: str) -> DataFrame:
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     options = split.PieceOptions()
-    return split.pieces(split.ranges_of_texts(table(spark, d, "text_extractions"), "extraction_id", "text", options), options)
+    return split.pieces(split.ranges_of_texts(_extractions(spark, d), "extraction_id", "text", options), options)
 
 
 @registry.add("p4_found", "SELECT extraction_id FROM text_extractions WHERE length(text) > 16000")
@@ -50,8 +50,7 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
 def p4_results(spark: SparkSession, d: str) -> DataFrame:
     options = split.PieceOptions()
     ranges = split.ranges_of_texts(table(spark, d, "text_extractions"), "extraction_id", "text", options)
-    counted = split.cut_table(ranges, options).groupBy("item").agg(F.count("*").alias("n_pieces"))
-    return split.with_chunk_columns(table(spark, d, "extraction_results"), table(spark, d, "text_extractions"), counted, options)
+    return split.with_chunk_columns(table(spark, d, "extraction_results"), table(spark, d, "text_extractions"), split.piece_counts(ranges, options), options)
 
 
 @registry.add("p7_ids")
