@@ -147,7 +147,7 @@ def test_job_state_stream(spark, tmp_path):
 
 def test_salted_lookup_keeps_every_row(spark):
     rows = spark.range(1000).select(F.col("id"), F.lit(1).alias("k"))
-    joined = salted_lookup(rows, spark.createDataFrame([(1, "x")], "k int, v string"), "k", "id")
+    joined = salted_lookup(rows, spark.createDataFrame([(1, "x")], "k int, v string"), "k", "id", rows.groupBy("k").agg(F.count("*").alias("n")))
     assert joined.count() == 1000 and joined.filter("v = 'x'").count() == 1000
 
 

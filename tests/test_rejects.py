@@ -116,3 +116,11 @@ def test_hot_file_and_very_long_record(spark):
     lines = spark.range(2000).select(F.col("id").alias("line_id"), F.lit(1).cast("long").alias("file_id"), F.col("id").alias("line_no"), F.when(F.col("id") == 7, F.concat(F.lit('"'), F.repeat(F.lit('x,""'), 50_000), F.lit('",1'))).when(F.col("id") % 10 == 0, F.lit("x,y")).otherwise(F.lit("x,1")).alias("raw_line"))
     assert R.rejected(lines, files).count() == 200
     assert R.typed_rows(lines, files).count() == 1800
+    assert {(r["is_row"], r["reason"]) for r in R.parse_records(lines, files.limit(0)).collect()} == {(False, None)}  # an unknown file's records are neither
+
+
+def test_columns_without_types(spark):
+    files = spark.createDataFrame([(1, ",", True, 2, ["a", "b"], None)], FILES)
+    lines = spark.createDataFrame([(1, 1, "x", 1, "p,q", "c", "c"), (2, 1, "x", 2, "p", "c", "c"), (3, None, "x", 2, "p,q", "c", "c")], LINES)
+    assert {r["line_id"] for r in R.rejected(lines, files).collect()} == {2}
+    assert [(c["text"], c["kind"]) for c in R.typed_rows(lines, files).first()["cells"]] == [("p", "string"), ("q", "string")]

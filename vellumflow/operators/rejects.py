@@ -5,22 +5,25 @@ the end state for each possible start state; vectors compose left to right, so t
 state of each chunk follows without walking the record as a whole, and all chunks of a batch
 step through the automaton together in numpy. A second step with known states marks breaks.
 
-Rows with a null raw_line or without metadata give reason null and no fields (neither row nor
-case); empty tables give empty results; other columns are carried along untouched.
+Rows with a null raw_line or without metadata have reason null and no fields (neither row nor
+case); columns without a stated type take any value; empty tables give empty results; other columns are carried along untouched.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vellumflow.session import salted_lookup
+from vellumflow.session import checkpointed, salted_lookup
 
 CHUNK = 512
 DELIMITERS = (",", ";", "\t", "|")
@@ -155,7 +158,7 @@ def _is_blank(raw: Column) -> Column:
 
 
 def file_dialects(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """One row a file: file_id, dialect (its delimiter).
+    """One row a file of the lines: file_id, dialect (its delimiter), n (its lines).
 
     Every line votes for the delimiters under which it has as many fields as column_names. Lines
     are first counted map-side by file and field counts, so only those few rows a file are
@@ -165,29 +168,43 @@ def file_dialects(lines: DataFrame, files: DataFrame) -> DataFrame:
     counted = lines.select("file_id", *sizes).groupBy("file_id", *[f"_n{i}" for i in range(len(DELIMITERS))]).agg(F.count("*").alias("_c"))
     wanted = files.select("file_id", F.size("column_names").alias("_n"), F.col("delimiter").alias("_said"))
     votes = [F.sum(F.when(F.col(f"_n{i}") == F.col("_n"), F.col("_c")).otherwise(0)).alias(f"_v{i}") for i in range(len(DELIMITERS))]
-    tallied = counted.join(wanted, "file_id").groupBy("file_id").agg(*votes, F.first("_said").alias("_said"))
+    tallied = counted.join(wanted, "file_id", "left").groupBy("file_id").agg(*votes, F.first("_said").alias("_said"), F.sum("_c").alias("n"))
     best = F.array_max(F.array(*[F.struct(F.coalesce(F.col(f"_v{i}"), F.lit(0)).alias("n"), F.coalesce((F.col("_said") == d).cast("int"), F.lit(0)).alias("said"), F.lit(-i).alias("pos"), F.lit(d).alias("d")) for i, d in enumerate(DELIMITERS)]))
-    return tallied.select("file_id", best["d"].alias("dialect"))
+    return tallied.select("file_id", best["d"].alias("dialect"), "n")
 
 
-_OUTCOME = "line_id long, file_id long, line_no long, reason string, is_row boolean, fields array<string>"
+@lru_cache(4096)
+def _spec(text: str) -> tuple[str, list[str], list[str]]:
+    read = json.loads(text)
+    return read["d"], read["n"], read["k"]
 
 
-def parse_records(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """Every non-blank delivered record with its outcome: reason, is_row, trimmed fields, column types."""
-    meta = files.select("file_id", "column_names", "column_types").join(file_dialects(lines, files), "file_id")
-    records = lines.select("line_id", "file_id", "line_no", F.regexp_replace("raw_line", r"\r\z", "").alias("raw_line")).filter(~_is_blank(F.col("raw_line")))
+_OUTCOME = T.StructType([T.StructField("reason", T.StringType()), T.StructField("is_row", T.BooleanType()), T.StructField("fields", T.ArrayType(T.StringType()))])
+
+
+@F.pandas_udf(_OUTCOME)
+def _outcome(raw: pd.Series, spec: pd.Series) -> pd.DataFrame:
+    known = [None if s is None or r is None else _spec(s) for r, s in zip(raw, spec, strict=True)]
+    at = [i for i, k in enumerate(known) if k is not None]
+    out: list[tuple[str | None, bool, list[str] | None]] = [(None, False, None)] * len(known)
+    parsed = tokenize([raw.iat[i] for i in at], [known[i][0] for i in at])
+    for i, f in zip(at, parsed, strict=True):
+        reason, fields, is_row = judge(f, known[i][1], known[i][2])
+        out[i] = reason, is_row, fields
+    return pd.DataFrame(out, columns=["reason", "is_row", "fields"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            part = part[part["column_names"].notna() & part["dialect"].notna()]
-            if part.empty:
-                continue
-            parsed = tokenize(part["raw_line"].tolist(), part["dialect"].tolist())
-            judged = [judge(f, n, k) for f, n, k in zip(parsed, part["column_names"], part["column_types"], strict=True)]
-            yield pd.DataFrame({"line_id": part["line_id"], "file_id": part["file_id"], "line_no": part["line_no"], "reason": [j[0] for j in judged], "is_row": [j[2] for j in judged], "fields": [j[1] for j in judged]})
 
-    return salted_lookup(records, meta, "file_id", "line_id").mapInPandas(run, _OUTCOME)
+def parse_records(lines: DataFrame, files: DataFrame, distinct: bool = False) -> DataFrame:
+    """Every record that isn't blank with its outcome: reason, is_row, trimmed fields, and its file's column_names and column_types.
+
+    Records of unknown files have neither reason nor fields. distinct: copies of a record count once."""
+    dialects = checkpointed(file_dialects(lines, files))  # one row a file
+    typed = files.select("file_id", "column_names", F.coalesce("column_types", F.transform("column_names", lambda _: F.lit("string"))).alias("column_types"))
+    spec = F.when(F.col("column_names").isNotNull(), F.to_json(F.struct(F.col("dialect").alias("d"), F.col("column_names").alias("n"), F.col("column_types").alias("k")), {"ignoreNullFields": "false"}))
+    meta = typed.join(dialects, "file_id").select("file_id", "column_names", "column_types", spec.alias("_spec"))
+    records = lines.select("line_id", "file_id", "line_no", F.regexp_replace("raw_line", r"\r\z", "").alias("raw_line")).filter(~_is_blank(F.col("raw_line")))
+    joined = salted_lookup(records, meta, "file_id", "line_id", dialects.select("file_id", "n"), distinct)
+    return joined.withColumn("_o", _outcome("raw_line", "_spec")).select("line_id", "file_id", "line_no", "column_names", "column_types", "_o.*")
 
 
 def rejected(lines: DataFrame, files: DataFrame) -> DataFrame:
@@ -199,10 +216,9 @@ def typed_rows(lines: DataFrame, files: DataFrame) -> DataFrame:
     """Valid records, each line once: file_id, line_id, line_no, cells.
 
     cells has one struct a column: name, kind, text, and the value under its type (integer_value
-    as decimal(38,0), number_value double, date_value); an empty value is null under any type."""
-    rows = parse_records(lines, files).filter("is_row").dropDuplicates(["line_id"]).select("line_id", "file_id", "line_no", "fields")
-    meta = files.select("file_id", "column_names", "column_types")
-    joined = salted_lookup(rows, meta, "file_id", "line_id")
+    as decimal(38,0), null for more digits than that, which text holds; number_value double;
+    date_value); an empty value is null under any type."""
+    rows = parse_records(lines, files, distinct=True).filter("is_row")
 
     def cell(x: Column) -> Column:
         name, kind, raw = x["column_names"], x["column_types"], F.nullif(x["fields"], F.lit(""))
@@ -216,4 +232,4 @@ def typed_rows(lines: DataFrame, files: DataFrame) -> DataFrame:
         )
 
     zipped = F.arrays_zip("column_names", "column_types", "fields")
-    return joined.select("file_id", "line_id", "line_no", F.transform(zipped, cell).alias("cells"))
+    return rows.select("file_id", "line_id", "line_no", F.transform(zipped, cell).alias("cells"))

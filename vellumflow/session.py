@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Salts per key for joins against a hot key; one key may hold a third of all rows.
-SALTS = 16
+#: A key with more than this share of all rows is hot; there are never more than 1 / HOT_SHARE of them.
+HOT_SHARE = 1 / 1000
 
 
 def local_session(cores: int = 8, name: str = "vellumflow") -> SparkSession:
@@ -45,15 +45,22 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
     return scan.repartition(2 * cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def salted_lookup(rows: DataFrame, lookup: DataFrame, key: str, by: str, salts: int = SALTS) -> DataFrame:
-    """Left join of rows to one lookup row per key, the key's rows spread over `salts` tasks.
-
-    `by` names a high-cardinality column of rows. The lookup side is repeated per salt and never
-    broadcast, since it grows with the data and its copies hide its size from the optimizer.
-    """
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
-    right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right.hint("shuffle_hash"), [key, "_salt"], "left").drop("_salt")
+def salted_lookup(rows: DataFrame, lookup: DataFrame, key: str, by: str, sizes: DataFrame, distinct: bool = False) -> DataFrame:
+    """Left join of rows to one lookup row per key, a hot key's rows spread over as many tasks as they are worth.
+
+    sizes: key, n (its rows), cheap to read again. Only keys with more than `HOT_SHARE` of all rows are
+    salted, so their list is bounded whatever the data; only their lookup rows are repeated, once a
+    salt. `by` names a high-cardinality column of rows. distinct: whole copies of rows count once,
+    for which the join's own partitioning serves."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = F.broadcast(sizes.filter(F.col("n") > total * HOT_SHARE).select(key, F.ceil(F.col("n") * 2.0 * parts / max(total, 1)).cast("int").alias("_salts")))
+    own = F.when(F.col(key).isNull(), parts).otherwise(F.coalesce("_salts", F.lit(1)))  # nulls meet nothing, so any place will do
+    left = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), own).cast("int")).drop("_salts")
+    right = lookup.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    left = left.repartition(key, "_salt").distinct() if distinct else left
+    return left.join(right, [key, "_salt"], "left").drop("_salt")
 
 
 def shared_folder(spark: SparkSession) -> str:
