@@ -204,7 +204,8 @@ def parse_records(lines: DataFrame, files: DataFrame, distinct: bool = False) ->
     meta = typed.join(dialects, "file_id").select("file_id", "column_names", "column_types", spec.alias("_spec"))
     records = lines.select("line_id", "file_id", "line_no", F.regexp_replace("raw_line", r"\r\z", "").alias("raw_line")).filter(~_is_blank(F.col("raw_line")))
     joined = salted_lookup(records, meta, "file_id", "line_id", dialects.select("file_id", "n"), distinct)
-    return joined.withColumn("_o", _outcome("raw_line", "_spec")).select("line_id", "file_id", "line_no", "column_names", "column_types", "_o.*")
+    once = _outcome.asNondeterministic()  # or a filter behind it would have it evaluated a second time
+    return joined.withColumn("_o", once("raw_line", "_spec")).select("line_id", "file_id", "line_no", "column_names", "column_types", "_o.*")
 
 
 def rejected(lines: DataFrame, files: DataFrame) -> DataFrame:
