@@ -383,5 +383,6 @@ def garbled(extractions: DataFrame, id_column: str = "extraction_id", text: str
 
     Texts of ASCII characters alone, without entities, are set aside by the JVM before Python sees them."""
     suspect = extractions.select(id_column, text).filter(F.col(text).rlike(r"[^\x01-\x7f]|&(?:#[0-9]{2,7}|#[xX][0-9A-Fa-f]{2,6}|[A-Za-z][A-Za-z0-9]{1,30});"))
-    judged = suspect.withColumn("_r", _restore(text)).filter("_r.affected")
+    once = _restore.asNondeterministic()  # or the filter behind it would have it evaluated a second time
+    judged = suspect.withColumn("_r", once(text)).filter("_r.affected")
     return judged.select(id_column, F.col("_r.steps").alias("steps"), F.col("_r.whole").alias("restorable"), F.when(F.col("_r.whole"), F.col("_r.restored")).alias("restored_text"))
