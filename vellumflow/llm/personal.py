@@ -135,12 +135,20 @@ class Field:
             self.size += 1
         return at
 
-    def emissions(self, tokens: Sequence[tuple[str, str]]) -> np.ndarray:
-        if len(self.known) > 60_000:  # bounds the memory of a worker
+    def bounded(self) -> None:
+        """Forgets the tokens seen so far once there are many: bounds the memory of a worker. Their numbers end with it."""
+        if len(self.known) > 60_000:
             self.known, self.size = {}, 0
             self.table = self.table[:1024]
-        ids = np.fromiter((self._row(k, w) for k, w in tokens), np.int64, len(tokens))
-        out = np.zeros((len(tokens), len(LABELS)), np.float32)
+
+    def number(self, kind: str, word: str) -> int:
+        """The table row of a token, its digits made plain."""
+        word = _plain(kind, word) if kind in "NE" else word
+        at = self.known.get((kind, word))
+        return self._row(kind, word) if at is None else at
+
+    def emissions(self, ids: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(ids), len(LABELS)), np.float32)
         for i, offset in enumerate(WINDOW):
             # place `offset` of the window looks at the token at t + offset
             part = self.table[ids, i]
@@ -278,6 +286,10 @@ def train(rows: list[tuple[str, list[tuple[int, int, str]], str]] | None = None,
     return Field({k: w[i].astype(np.float32) for k, i in names.items()}, (trans + banned).astype(np.float32), (start + no_start).astype(np.float32))
 
 
+#: What a person's name has at most, and how far before a span its title, given name or label may begin.
+NAME_WORDS, NAME_LETTERS, LOOK_BACK = 8, 30, 64
+
+
 # ---- exact checks of a span's form --------------------------------------------------------
 _NOT_NAMES = frozenset((*_LISTS["company"].split(), *_LISTS["job"].split(), *_LISTS["street"].split(), "people", "legal", "sales", "operations", "finance", "logistics", "engineering", "marketing", "research", "support", "office", "customer", "sir", "madam", "the", "desk", "department")) - {"dr", "place", "hill", "way", "court", "close", "st", "ring", "row", "walk", "c", "via", "rua"}
 _STREET_WORD = re.compile(r"(?i)(?:\b(?:street|st|road|rd|lane|ln|avenue|ave|drive|close|way|terrace|court|crescent|square|blvd|boulevard|place|hill|walk|row|dr|rue|bd|impasse|chemin|quai|allée|calle|avda|avenida|plaza|paseo|camino|rua|via|piazza)\b|\bC/|(?:straße|strasse|str\.|gasse|weg|allee|platz|markt)\b|\bbox\b)")
@@ -299,9 +311,9 @@ def sound(kind: str, datum: str) -> bool:
     if not datum[0].isalpha() and datum[0] < "\xa0" or datum[0] == "�":
         return False
     words = re.findall(r"[^\W\d_][^\s,.]*", datum)
-    if len(re.findall("[A-Za-z]", datum)) < 0.5 * len(datum) or any(len(w) > 16 for w in words):
+    if len(re.findall("[A-Za-z]", datum)) < 0.5 * len(datum) or any(len(w) > NAME_LETTERS for w in words):
         return False
-    return bool(words) and len(words) <= 5 and any(len(w) > 1 for w in words) and not any(c.isdigit() for c in datum) and not any(w.lower() in _NOT_NAMES for w in words) and not all(w.islower() for w in words)
+    return bool(words) and len(words) <= NAME_WORDS and any(len(w) > 1 for w in words) and not any(c.isdigit() for c in datum) and not any(w.lower() in _NOT_NAMES for w in words) and not all(w.islower() for w in words)
 
 
 _TITLE = re.compile(rf"(?i)(?:(?:{'|'.join(t for t in _LISTS['title'].split() if t != 'm')})\b\.?|[^\w�]|_)+\s*")
@@ -321,12 +333,12 @@ def trimmed(kind: str, text: str, start: int, end: int) -> list[tuple[int, int]]
     if kind == "name":
         lead = _TITLE.match(datum)
         start += lead.end() if lead else 0
-        while m := _GIVEN.search(text, max(0, start - 24), start):  # an initial or a given name that belongs to it
+        while m := _GIVEN.search(text, max(0, start - LOOK_BACK), start):  # an initial or a given name that belongs to it
             if m[1] and m[1].lower() not in _FIRST:
                 break
             start = m.start()
-        if m := _GARBLED_GIVEN.search(text[max(0, start - 24) : start]):
-            start = max(0, start - 24) + m.start()
+        if m := _GARBLED_GIVEN.search(text[max(0, start - LOOK_BACK) : start]):
+            start = max(0, start - LOOK_BACK) + m.start()
         if text[end - 1] == "." and (m := _SURNAME.match(text, end)):
             end = m.end()
         parts = text[start:end].split(", ")
@@ -354,7 +366,9 @@ def find(texts: Sequence[str | None], field: Field, context: str = "text_extract
     count = 0
 
     def decode() -> None:
-        pairs: list[tuple[str, str]] = []
+        field.bounded()
+        ids: list[int] = []
+        number, first, gap = field.number, field.number("F", context), [field.number("", "")] * 5
         starts, lengths, owner = [], [], []
         for i, text, tokens in held:
             # a sequence is a line: blank lines and line ends separate data, so long texts decode in parallel
@@ -362,17 +376,17 @@ def find(texts: Sequence[str | None], field: Field, context: str = "text_extract
             for j in range(len(tokens) + 1):
                 if j == len(tokens) or tokens[j][2] == "L" and j - begin > 0:
                     if j > begin:
-                        starts.append(len(pairs))
+                        starts.append(len(ids))
                         lengths.append(j - begin + 1)
                         owner.append((i, text, tokens[begin:j]))
-                        pairs.append(("F", context))
-                        pairs += [(k, _plain(k, text[s:e])) for s, e, k in tokens[begin:j]]
-                        pairs += [("", "")] * 5  # keeps the windows of neighbouring lines apart
+                        ids.append(first)
+                        ids += [number(k, text[s:e]) for s, e, k in tokens[begin:j]]
+                        ids += gap  # keeps the windows of neighbouring lines apart
                 if j < len(tokens) and tokens[j][2] == "L":
                     begin = j + 1
-        if not pairs:
+        if not ids:
             return
-        emissions = field.emissions(pairs)
+        emissions = field.emissions(np.array(ids))
         labels = field.viterbi(emissions, np.array(starts), np.array(lengths))
         for at, size, (i, text, tokens) in zip(starts, lengths, owner, strict=True):
             own, size = labels[at + 1 : at + size], size - 1
@@ -385,7 +399,7 @@ def find(texts: Sequence[str | None], field: Field, context: str = "text_extract
                     k = j + 1
                     while k < size and LABELS[own[k]] == "I-" + label[2:]:
                         k += 1
-                    out[i] += [(s, e, label[2:]) for s, e in trimmed(label[2:], text, tokens[j][0], tokens[k - 1][1]) if sound(label[2:], text[s:e]) and not (label == "B-name" and (_place_like(text, s, e) if context == "text_extractions" else _COMPANY_NEXT.match(text, e))) and not (label in ("B-phone", "B-id_number") and _NOT_PERSONAL.search(text, max(0, s - 26), s))]
+                    out[i] += [(s, e, label[2:]) for s, e in trimmed(label[2:], text, tokens[j][0], tokens[k - 1][1]) if sound(label[2:], text[s:e]) and not (label == "B-name" and (_place_like(text, s, e) if context == "text_extractions" else _COMPANY_NEXT.match(text, e))) and not (label in ("B-phone", "B-id_number") and _NOT_PERSONAL.search(text, max(0, s - LOOK_BACK), s))]
                     j = k
                 else:
                     j += 1
