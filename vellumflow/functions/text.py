@@ -37,23 +37,32 @@ def canonical_encoding(name: Column) -> Column:
 
 
 def decoded(content: Column) -> Column:
-    """UTF-8 where the bytes are valid, else Latin-1, which takes any byte."""
+    """UTF-8 where the bytes are valid, else Latin-1, which takes any byte: code pages behind it in a list of fallbacks are never reached."""
     return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "iso-8859-1"))
 
 
+def decoded_as(content: Column, encoding: Column) -> Column:
+    """The text under a stated encoding where the JVM knows it and the bytes fit, else as `decoded`."""
+    known = canonical_encoding(encoding)
+    valid = F.is_valid_utf8(content.cast("string"))
+    return F.when(known.isin("latin-1", "iso-8859-1"), F.decode(content, "iso-8859-1")).when(known.isin("utf-16", "utf-16-le", "utf-16-be") & (F.length(content) % 2 == 0), F.decode(content, "utf-16")).when(known.isin("ascii", "utf-8") & valid, content.cast("string")).otherwise(decoded(content))
+
+
 def detected_encoding(content: Column) -> Column:
-    """STRUCT<encoding, confidence> by rule: empty, byte-order mark, ASCII, valid UTF-8, else Latin-1."""
+    """STRUCT<encoding, confidence>: empty content is UTF-8 for sure; a byte-order mark, ASCII and valid UTF-8 are found
+    by the bytes; what is none of these is Latin-1, the first fallback that takes it (0.5)."""
     pair = lambda e, c: F.struct(F.lit(e).alias("encoding"), F.lit(c).alias("confidence"))
     valid = F.is_valid_utf8(content.cast("string"))
     ascii_only = valid & (F.length(content) == F.length(content.cast("string")))
-    return F.when(F.length(content) == 0, pair("utf-8", 1.0)).when(ascii_only, pair("ascii", 1.0)).when(valid, pair("utf-8", 0.99)).otherwise(pair("latin-1", 0.3))
+    marked = F.hex(F.substring(content, 1, 2)).isin("FFFE", "FEFF")
+    return F.when(F.length(content) == 0, pair("utf-8", 1.0)).when(ascii_only, pair("ascii", 1.0)).when(valid, pair("utf-8", 0.99)).when(marked, pair("utf-16", 1.0)).otherwise(pair("latin-1", 0.5))
 
 
 def needs_chunking(text: Column) -> Column:
     return F.coalesce(F.length(text) > CHUNKING_CHARS, F.lit(False))
 
 
-def truncated(text: Column, limit: int = PROMPT_CHARS, marker: str = "\n...[truncated]") -> Column:
+def truncated(text: Column, limit: int = PROMPT_CHARS, marker: str = "\n... [text truncated] ...") -> Column:
     return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit(marker))).otherwise(text)
 
 

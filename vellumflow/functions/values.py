@@ -76,11 +76,15 @@ def clamped(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), value))
 
 
+def whole_json(text: Column) -> Column:
+    """VARIANT of a text that is one complete JSON value and nothing else; else null."""
+    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).try_cast("array<variant>")
+    return F.when(F.size(wrapped) == 1, F.get(wrapped, F.lit(0)))
+
+
 def tolerant_json(reply: Column) -> Column:
     """VARIANT of a reply: the whole text, else what stands between its first and last brace; else null."""
-    whole = F.try_parse_json(reply)
-    inner = F.try_parse_json(F.nullif(F.regexp_extract(reply, r"(?s)\{.*\}", 0), F.lit("")))
-    return F.coalesce(F.when(F.trim(reply).rlike(r"(?s)^[\[{].*[\]}]$"), whole), inner)
+    return F.coalesce(whole_json(reply), whole_json(F.nullif(F.regexp_extract(reply, r"(?s)\{.*\}", 0), F.lit(""))))
 
 
 def choice(value: Column, allowed: tuple[str, ...], default: str) -> Column:
@@ -92,8 +96,3 @@ def choice(value: Column, allowed: tuple[str, ...], default: str) -> Column:
 def blank_to_null(value: Column) -> Column:
     return F.nullif(F.trim(value), F.lit(""))
 
-
-def as_flag(value: Column) -> Column:
-    """Checkbox and radio text to boolean; other text null."""
-    word = F.lower(F.trim(value))
-    return F.when(word.isin("true", "yes", "checked", "on", "1", "x", "selected"), True).when(word.isin("false", "no", "unchecked", "off", "0", "", "unselected"), False)

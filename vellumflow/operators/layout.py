@@ -6,9 +6,12 @@ windows and joins are partitioned by page or document, whose size a page bounds.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vellumflow.functions import boxes as B
 from vellumflow.functions.text import literal_map
@@ -41,27 +44,90 @@ def nested(regions: DataFrame, share: float = 0.8) -> DataFrame:
     return regions.join(first, [*PAGE, "region_id"], "left")
 
 
-def layout_types(regions: DataFrame) -> DataFrame:
-    """doc_id, page, layout_type: 'multi' if the centres spread over 0.4 of the width in several rows, else 'single'.
-
-    Rows of centres are gap clusters: a new one begins where the gap exceeds 0.1 of the page width."""
-    content = ~F.col("region_type").isin(*SKIPPED)
-    centres = regions.withColumn("yc", B.y_center(F.col("bbox"))).withColumn("xc", B.x_center(F.col("bbox")))
-    gap = F.col("yc") - F.lag("yc").over(W.partitionBy(*PAGE, "_content").orderBy("yc"))
-    marked = centres.withColumn("_content", content).withColumn("_new", (gap > 0.1 * F.col("page_width")).cast("int"))
-    stats = marked.groupBy(*PAGE).agg(
-        F.count("*").alias("n"), F.count_if("_content").alias("n_content"), (F.max(F.when(F.col("_content"), F.col("xc"))) - F.min(F.when(F.col("_content"), F.col("xc")))).alias("spread"), (F.sum(F.when(F.col("_content"), F.coalesce("_new", F.lit(0))).otherwise(0)) + 1).alias("rows"), F.first("page_width").alias("page_width")
-    )
-    multi = (F.col("n") >= 2) & (F.col("n_content") > 3) & (F.col("spread") > 0.4 * F.col("page_width")) & (F.col("rows") > 1)
-    return stats.select(*PAGE, F.when(multi, "multi").otherwise("single").alias("layout_type"), F.col("rows").cast("long").alias("y_clusters"))
-
-
 def reading_order(regions: DataFrame) -> DataFrame:
-    """Adds layout_type, order_index, skip and order_confidence; regions need page_width."""
-    typed = regions.join(layout_types(regions), list(PAGE))
-    right = F.when(F.col("layout_type") == "multi", B.x_center(F.col("bbox")) >= F.col("page_width") / 2).otherwise(F.lit(False))
-    order = W.partitionBy(*PAGE).orderBy(right, "bbox.y0", "bbox.x0", "pos", "region_id")
-    return typed.withColumn("order_index", (F.row_number().over(order) - 1).cast("long")).withColumn("skip", F.col("region_type").isin(*SKIPPED)).withColumn("order_confidence", F.when(F.col("layout_type") == "multi", 0.5).otherwise(0.7))
+    """Adds layout_type, order_index, skip and order_confidence; regions need page_width.
+
+    The layout type is found over the page's own windows, so a page is shuffled and sorted once."""
+    page = W.partitionBy(*PAGE)
+    content, xc = ~F.col("region_type").isin(*SKIPPED), B.x_center(F.col("bbox"))
+    by_row = page.orderBy(content, "_yc")
+    gaps = regions.withColumn("_yc", B.y_center(F.col("bbox"))).withColumn("_content", content)
+    fresh = F.col("_content") & F.lag("_content").over(by_row) & (F.col("_yc") - F.lag("_yc").over(by_row) > 0.1 * F.col("page_width"))
+    marked = gaps.withColumn("_fresh", F.coalesce(fresh.cast("int"), F.lit(0)))
+    span = F.max(F.when(content, xc)).over(page) - F.min(F.when(content, xc)).over(page)
+    multi = (F.count("*").over(page) >= 2) & (F.count_if("_content").over(page) > 3) & (span > 0.4 * F.col("page_width")) & (F.sum("_fresh").over(page) > 0)
+    typed = marked.withColumn("layout_type", F.when(multi, "multi_column").otherwise("single_column"))
+    right = (F.col("layout_type") == "multi_column") & (xc >= F.col("page_width") / 2)
+    order = page.orderBy(right, "bbox.y0", "bbox.x0", "pos", "region_id")
+    ordered = typed.withColumn("order_index", (F.row_number().over(order) - 1).cast("long")).withColumn("skip", F.col("region_type").isin(*SKIPPED))
+    return ordered.withColumn("order_confidence", F.when(F.col("layout_type") == "multi_column", 0.5).otherwise(0.7)).drop("_yc", "_content", "_fresh")
+
+
+def page_orders(pages: DataFrame, ordered: DataFrame) -> DataFrame:
+    """doc_id, page, layout_type, overall_confidence, n_regions of every page; a page without regions is 'empty' and sure."""
+    per = ordered.groupBy(*PAGE).agg(F.first("layout_type").alias("layout_type"), F.count("*").alias("n_regions"))
+    joined = pages.select(*PAGE).join(per, list(PAGE), "left").na.fill(0, ["n_regions"])
+    return joined.select(*PAGE, F.coalesce("layout_type", F.lit("empty")).alias("layout_type"), F.when(F.col("layout_type").isNull(), 1.0).when(F.col("layout_type") == "single_column", 0.6).otherwise(0.4).alias("overall_confidence"), "n_regions")
+
+
+#: Regions of a page that the order model takes; larger pages are ordered by rule.
+MODEL_REGIONS = 510
+
+
+def settled_orders(scores: np.ndarray) -> np.ndarray:
+    """A place for each region, no place twice: each asks for its best place left, and a place keeps whoever scores highest there.
+
+    scores: regions x places. Of equal scores the earlier region keeps the place."""
+    wishes = np.argsort(scores, axis=1, kind="stable")[:, ::-1]
+    holder, asked = np.full(scores.shape[1], -1), np.zeros(len(scores), int)
+    waiting = list(range(len(scores)))[::-1]
+    while waiting:
+        region = waiting.pop()
+        place = wishes[region, asked[region]]
+        asked[region] += 1
+        held = holder[place]
+        if held < 0 or (scores[region, place], -region) > (scores[held, place], -held):
+            holder[place] = region
+            region = held
+        if region >= 0:
+            waiting.append(region)
+    out = np.empty(len(scores), int)
+    out[holder[holder >= 0]] = np.flatnonzero(holder >= 0)
+    return out
+
+
+_PLACES = T.StructType([T.StructField("order_index", T.ArrayType(T.LongType())), T.StructField("confidence", T.ArrayType(T.DoubleType()))])
+
+
+@F.pandas_udf(_PLACES)
+def _settled(pages: pd.Series) -> pd.DataFrame:
+    out = []
+    for page in pages:
+        scores = np.stack([np.asarray(x, float)[: len(page)] for x in page])
+        order = settled_orders(scores)
+        shifted = np.exp(scores - scores.max(1, keepdims=True))
+        out.append((order, (shifted / shifted.sum(1, keepdims=True))[np.arange(len(page)), order]))
+    return pd.DataFrame(out, columns=_PLACES.names)
+
+
+def model_order(regions: DataFrame) -> DataFrame:
+    """Reading order from an order model's scores: regions need pos and scores (array<double>, one for each place of the page).
+
+    Adds order_index, skip, order_confidence (the softmax of the place taken) and source ('model'). Pages
+    without a size, with more than `MODEL_REGIONS` regions or without usable scores are ordered by rule
+    (source 'rule'). A page's scores are at most `MODEL_REGIONS` squared, so one page is a task's work."""
+    page = W.partitionBy(*PAGE)
+    n = F.count("*").over(page)
+    usable = (F.col("page_width") > 0) & (F.col("page_height") > 0) & (n <= MODEL_REGIONS) & (F.min(F.coalesce(F.size("scores"), F.lit(0))).over(page) >= n)
+    marked = regions.withColumn("_usable", usable)
+
+    listed = F.array_sort(F.collect_list(F.struct("pos", "region_id", "scores")))
+    pages_ = marked.filter("_usable").groupBy(*PAGE).agg(listed.alias("r"))
+    places = pages_.select(*PAGE, F.col("r.region_id").alias("region_id"), _settled(F.col("r.scores")).alias("s"))
+    settled = places.select(*PAGE, F.inline(F.arrays_zip("region_id", F.col("s.order_index").alias("order_index"), F.col("s.confidence").alias("order_confidence"))))
+    by_model = regions.join(settled, [*PAGE, "region_id"]).withColumn("skip", F.col("region_type").isin(*SKIPPED)).withColumn("source", F.lit("model"))
+    by_rule = reading_order(marked.filter(~F.col("_usable")).drop("_usable")).withColumn("source", F.lit("rule"))
+    return by_model.unionByName(by_rule.select(*by_model.columns))
 
 
 def neighbours(ordered: DataFrame, reach: int = 3) -> DataFrame:

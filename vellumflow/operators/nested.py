@@ -24,6 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumflow.functions.values import whole_json
 from vellumflow.session import staged
 
 
@@ -82,8 +83,7 @@ def _is_object(v: Column) -> Column:
 def complete_json(text: Column) -> Column:
     """VARIANT of a text that is one complete JSON value, with or without a Markdown fence; else null."""
     bare = F.regexp_replace(text, r"(?s)\A\s*```[A-Za-z0-9_-]*\s*|\s*```\s*\z", "")
-    wrapped = F.try_parse_json(F.concat(F.lit("["), bare, F.lit("]"))).try_cast("array<variant>")
-    return F.when(F.size(wrapped) == 1, F.get(wrapped, F.lit(0)))
+    return whole_json(bare)
 
 
 def _bare(name: str) -> str:

@@ -9,13 +9,14 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumflow.functions import values as V
 from vellumflow.operators import quality
+from vellumflow.session import checkpointed
 
 Provider = Callable[[str, Sequence[str]], dict[str, str | None]]
 _registry: dict[str, Callable[[], Provider]] = {}
@@ -38,7 +39,19 @@ def label_rules() -> Provider:
     return extract
 
 
+def loose_rules() -> Provider:
+    """The same where a label may stand within a line and before a dash or a gap; the value ends with the line, or before two blanks."""
+    signs = r"\s*(?:[:=–-]|\s{2,}|\t)\s*(\S[^\n]*?)(?=\s{2,}|\n|$)"
+
+    def extract(text: str, names: Sequence[str]) -> dict[str, str | None]:
+        found = {n: re.search(rf"(?i)(?<!\w){re.escape(n)}" + signs, text or "") for n in names}
+        return {n: m[1] if m else None for n, m in found.items()}
+
+    return extract
+
+
 register("rules", label_rules)
+register("loose_rules", loose_rules)
 
 
 def extract(documents: DataFrame, names: Sequence[str], provider: str = "rules") -> DataFrame:
@@ -56,7 +69,8 @@ def extract(documents: DataFrame, names: Sequence[str], provider: str = "rules")
                     out.append((doc_id, None, f"E4001: {e}"))
             yield pd.DataFrame(out, columns=["doc_id", "data", "error"])
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, data string, error string")
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return documents.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, data string, error string")
 
 
 def field_rows(extracted: DataFrame, required: Sequence[str], optional: Sequence[str]) -> DataFrame:
@@ -66,46 +80,30 @@ def field_rows(extracted: DataFrame, required: Sequence[str], optional: Sequence
     return parsed.select("doc_id", F.inline(rows)).withColumn("confidence", F.when(F.col("value").isNotNull(), 0.85))
 
 
-def refine(documents: DataFrame, passes: Sequence[str], required: Sequence[str], optional: Sequence[str], t: quality.Thresholds = quality.Thresholds()) -> DataFrame:  # noqa: B008
+def refine(documents: DataFrame, passes: Sequence[str], required: Sequence[str], optional: Sequence[str], t: quality.Thresholds = quality.Thresholds(), initial: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """Extraction in passes: each runs on the documents that no pass before brought to 'passed'; all passes are kept.
 
-    doc_id, iteration, data, score, status; quality.best_pass picks the best of each document."""
-    left, done = documents, None
-    for i, provider in enumerate(passes[: t.max_iterations], 1):
-        result = extract(left, [*required, *optional], provider)
-        judged = quality.report(field_rows(result, required, optional), t).select("doc_id", F.lit(i).alias("iteration"), "score", "status").join(result.select("doc_id", "data"), "doc_id")
-        done = judged if done is None else done.unionByName(judged)
+    initial: doc_id, data of a result that counts as the first pass. doc_id, iteration, data, error, score,
+    status, issues (the types that were found); quality.best_pass picks the best of each document. A
+    pass is checkpointed, so that its provider is called once a document."""
+    left, done = documents.select("doc_id", "text"), []
+    steps = ([None] if initial is not None else []) + list(passes)
+    for i, provider in enumerate(steps[: t.max_iterations], 1):
+        found = extract(left, [*required, *optional], provider) if provider is not None else initial.select("doc_id", "data", F.lit(None).cast("string").alias("error"))
+        result = checkpointed(found)
+        fields = field_rows(result, required, optional)
+        kinds = quality.issues(fields, t).groupBy("doc_id").agg(F.collect_set("issue_type").alias("issues"))
+        judged = quality.report(fields, t).select("doc_id", F.lit(i).alias("iteration"), "score", "status").join(result, "doc_id").join(kinds, "doc_id", "left")
+        done.append(judged)
         left = left.join(judged.filter("status = 'passed'").select("doc_id"), "doc_id", "left_anti")
-    return done
-
-
-# ---- replies of model-backed tools, normalised to fixed shapes ----------------------------
-FIELD_TYPES = ("text", "checkbox", "radio", "dropdown", "date", "signature", "number")
-NODE_TYPES = ("process", "decision", "start", "end", "data", "entity", "other")
-EDGE_TYPES = ("directed", "undirected", "bidirectional")
-
-
-def form_fields(fields):  # noqa: ANN001, ANN201
-    """array of form fields: types whitelisted, checkbox and radio text as flags, blanks null, nulls dropped."""
-    kind = lambda f: V.choice(f["field_type"], FIELD_TYPES, "text")
-    return F.transform(
-        F.filter(fields, lambda f: f.isNotNull()),
-        lambda f: F.struct(V.blank_to_null(f["label"]).alias("label"), F.when(~kind(f).isin("checkbox", "radio"), V.blank_to_null(f["value"])).alias("value"), F.when(kind(f).isin("checkbox", "radio"), V.as_flag(f["value"])).alias("checked"), kind(f).alias("field_type"), F.coalesce(f["is_required"], F.lit(False)).alias("is_required"), F.coalesce(f["is_handwritten"], F.lit(False)).alias("is_handwritten"), V.blank_to_null(f["position"]).alias("position")),
-    )
-
-
-def signature_row(df: DataFrame) -> DataFrame:
-    """Signature readings with trimmed texts, defaults and lists without blanks."""
-    clean = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
-    out = df
-    for c in ("signer_name", "signer_title", "date_signed", "location", "stamp_text", "notes"):
-        out = out.withColumn(c, V.blank_to_null(F.col(c)))
-    return out.withColumn("signature_present", F.coalesce("signature_present", F.lit(False))).withColumn("stamp_present", F.coalesce("stamp_present", F.lit(False))).withColumn("certification_marks", clean(F.col("certification_marks"))).withColumn("missing_elements", clean(F.col("missing_elements"))).withColumn("is_complete", F.coalesce("is_complete", F.size("missing_elements") == 0))
+    return reduce(DataFrame.unionByName, done)
 
 
-def diagram(nodes, edges):  # noqa: ANN001, ANN201
-    """(nodes, edges): nodes without an id and edges without both ends fall out, types are whitelisted."""
-    kept = F.transform(F.filter(nodes, lambda n: F.coalesce(F.trim(n["id"]), F.lit("")) != ""), lambda n: F.struct(F.trim(n["id"]).alias("id"), V.blank_to_null(n["label"]).alias("label"), V.choice(n["type"], NODE_TYPES, "other").alias("type")))
-    ends = lambda e: (F.coalesce(F.trim(e["source"]), F.lit("")) != "") & (F.coalesce(F.trim(e["target"]), F.lit("")) != "")
-    linked = F.transform(F.filter(edges, ends), lambda e: F.struct(F.trim(e["source"]).alias("source"), F.trim(e["target"]).alias("target"), V.choice(e["type"], EDGE_TYPES, "directed").alias("type"), V.blank_to_null(e["label"]).alias("label")))
-    return kept, linked
+def extract_chunks(chunks: DataFrame, names: Sequence[str], provider: str = "rules") -> DataFrame:
+    """doc_id, chunk_idx, data of doc_id, chunk_idx, text: chunks that fail are left out; a document all of whose chunks fail has one row with an error."""
+    named = chunks.withColumn("_key", F.struct("doc_id", "chunk_idx"))
+    found = checkpointed(extract(named.select(F.to_json("_key").alias("doc_id"), "text"), names, provider))
+    key = F.from_json("doc_id", "doc_id long, chunk_idx long")
+    rows = found.select(key.alias("k"), "data", "error").select("k.*", "data", "error")
+    failed = rows.groupBy("doc_id").agg(F.count_if(F.col("error").isNull()).alias("_ok"), F.first("error").alias("error")).filter("_ok = 0").select("doc_id", F.lit(None).cast("long").alias("chunk_idx"), F.lit(None).cast("string").alias("data"), F.concat(F.lit("E4002: all chunks failed: "), F.col("error")).alias("error"))
+    return rows.filter("error IS NULL").unionByName(failed)

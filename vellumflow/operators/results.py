@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumflow.functions import values as V
+from vellumflow.functions.text import fixed_two
 from vellumflow.operators import quality
 from vellumflow.operators.render import ordered_lines
 
@@ -25,25 +25,48 @@ def attachments(regions: DataFrame, documents: DataFrame) -> DataFrame:
     return kept.unionByName(whole)
 
 
-def passed_checks(t: quality.Thresholds = quality.Thresholds()) -> Column:  # noqa: B008
-    """Names of the checks that a row of quality.report passes, in fixed order."""
-    tests = {
-        "required_fields": F.col("critical_issues") == 0, "required_coverage": F.col("required_coverage") >= t.min_required_coverage, "confidence": F.col("overall_confidence") >= t.min_confidence, "field_confidence": F.col("low_confidence_fields") == 0, "consistency": F.col("consistency") >= 0.5,
-    }
-    return F.array_compact(F.array(*[F.when(ok, F.lit(name)) for name, ok in tests.items()]))
+def passed_checks(schema_violations: Column | None = None, t: quality.Thresholds = quality.Thresholds()) -> Column:  # noqa: B008
+    """What a row of quality.report passes, in words and in fixed order; schema_violations is the number of such issues, none by default."""
+    percent = lambda x: F.concat(F.bround(x * 100, 0).cast("int").cast("string"), F.lit("%"))
+    meets = lambda what, value, limit, show: F.concat(F.lit(f"{what} ("), show(value), F.lit(") meets threshold ("), show(F.lit(limit)), F.lit(")"))
+    tests = (
+        (F.col("required_coverage") >= t.min_required_coverage, meets("Required field coverage", F.col("required_coverage"), t.min_required_coverage, percent)),
+        (F.col("overall_confidence") >= t.min_confidence, meets("Overall confidence", F.col("overall_confidence"), t.min_confidence, fixed_two)),
+        ((F.lit(0) if schema_violations is None else schema_violations) == 0, F.lit("Schema validation passed")),
+        (F.col("required_extracted") == F.col("required_fields"), F.lit("All required fields present")),
+    )
+    return F.array_compact(F.array(*[F.when(ok, words) for ok, words in tests]))
+
+
+def issue_line(with_suggestion: str = " ({})") -> Column:
+    """`[SEVERITY] path: message`, with the suggestion as the template says."""
+    head, _, tail = with_suggestion.partition("{}")
+    return F.concat(F.lit("["), F.upper("severity"), F.lit("] "), F.col("field_path"), F.lit(": "), F.col("message"), F.coalesce(F.concat(F.lit(head), F.col("suggestion"), F.lit(tail)), F.lit("")))
 
 
 def feedback(found: DataFrame, limit: int = 10) -> DataFrame:
-    """doc_id, feedback: `[SEVERITY] path: type` lines of the most severe issues, and the distinct paths in that order."""
+    """doc_id, feedback (lines of the most severe issues), focus_fields (the distinct paths in that order)."""
     top = quality.top_issues(found, limit)
-    line = F.concat(F.lit("["), F.upper("severity"), F.lit("] "), F.col("field_path"), F.lit(": "), F.col("issue_type"))
-    return top.groupBy("doc_id").agg(ordered_lines(line, F.col("place")).alias("feedback"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("place", "field_path"))), lambda x: x["field_path"])).alias("focus_fields"))
+    return top.groupBy("doc_id").agg(ordered_lines(issue_line(), F.col("place")).alias("feedback"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("place", "field_path"))), lambda x: x["field_path"])).alias("focus_fields"))
+
 
+def refinement_feedback(found: DataFrame, visual: bool = False) -> DataFrame:
+    """doc_id, strategy, focus_fields, issues (text of all, by severity): what the next pass is told."""
+    placed = quality.top_issues(found, 1 << 30)
+    told = F.concat(F.lit("["), F.upper("severity"), F.lit("] "), F.col("field_path"), F.lit(": "), F.col("message"), F.lit("\n   Suggestion: "), F.coalesce("suggestion", F.lit("Please address this issue")))
+    per = placed.groupBy("doc_id").agg(F.collect_list("issue_type").alias("_k"), ordered_lines(told, F.col("place"), "\n\n").alias("issues"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("place", "field_path"))), lambda x: x["field_path"])).alias("focus_fields"))
+    return per.select("doc_id", strategy_of(F.col("_k"), visual).alias("strategy"), "focus_fields", "issues")
 
-def strategy(found: DataFrame) -> DataFrame:
-    """doc_id, strategy of the next pass by what is wrong most."""
-    counted = found.groupBy("doc_id").agg(F.count_if(F.col("issue_type") == "missing_required").alias("m"), F.count_if(F.col("issue_type") == "low_confidence").alias("l"), F.count("*").alias("n"))
-    return counted.select("doc_id", F.when(F.col("m") * 2 > F.col("n"), "find_missing").when(F.col("l") * 2 > F.col("n"), "confirm_values").otherwise("general").alias("strategy"))
+
+def strategy_of(issue_types: Column, visual: bool = False) -> Column:
+    """The next pass's strategy by the gravest kind of issue there is (array<string> of types)."""
+    ladder = (
+        (("missing_required_field", "visual_region_reprocessing"), ("logical_inconsistency", "visual_context_enhanced")) if visual
+        else (("missing_required_field", "text_comprehensive_search"), ("schema_violation", "text_type_correction"), ("low_confidence", "text_confidence_boost"), ("logical_inconsistency", "text_consistency_check"))
+    )
+    known = F.coalesce(issue_types, F.array().cast("array<string>"))
+    steps = [F.when(F.array_contains(known, kind), F.lit(name)) for kind, name in ladder]
+    return F.coalesce(*steps, F.lit("visual_targeted_refinement" if visual else "text_targeted_refinement"))
 
 
 def result_records(judged: DataFrame, extracted: DataFrame, markdown: DataFrame | None = None) -> DataFrame:
@@ -59,35 +82,3 @@ def upserted(table: DataFrame, updates: DataFrame, key: str = "job_id", at: str
     both = table.unionByName(updates)
     rest = [c for c in both.columns if c != key]
     return both.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(F.col(at), F.col("state").isNull(), F.col("state"))).alias("_r")).select(key, "_r.*").filter(F.col("state").isNotNull())
-
-
-# ---- replies of further tools -------------------------------------------------------------
-def id_list(ids: Column) -> Column:
-    clean = F.filter(F.transform(ids, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
-    return F.when(F.size(clean) > 0, clean)
-
-
-def handwriting(reply: Column) -> Column:
-    text = V.blank_to_null(reply["text"])
-    return F.struct(text.alias("text"), V.choice(reply["legibility"], ("clear", "partial", "illegible"), "partial").alias("legibility"), V.clamped(F.coalesce(reply["confidence"].try_cast("double"), F.when(text.isNotNull(), 0.5).otherwise(0.0))).alias("confidence"))
-
-
-def image_description(reply: Column) -> Column:
-    return F.struct(V.choice(reply["image_type"], ("photo", "drawing", "screenshot", "map", "icon", "other"), "other").alias("image_type"), V.blank_to_null(reply["description"]).alias("description"), F.coalesce(id_list(reply["objects"]), F.array().cast("array<string>")).alias("objects"))
-
-
-def logo(reply: Column) -> Column:
-    return F.struct(V.choice(reply["logo_type"], ("logo", "seal", "stamp", "badge", "unknown"), "unknown").alias("logo_type"), V.blank_to_null(reply["organisation"]).alias("organisation"), V.blank_to_null(reply["text"]).alias("text"), V.clamped(F.coalesce(reply["confidence"].try_cast("double"), F.lit(0.5))).alias("confidence"))
-
-
-def formula(latex: Column, variables: Column) -> Column:
-    """LaTeX without blanks at its ends, and the map of named variables that say something."""
-    named = F.map_filter(variables, lambda k, v: (F.trim(k) != "") & F.coalesce(F.trim(v) != "", F.lit(False)))
-    return F.struct(V.blank_to_null(latex).alias("latex"), F.transform_values(named, lambda _, v: F.trim(v)).alias("variables"))
-
-
-def challenges(names: Column, aliases: dict[str, str]) -> Column:
-    """Known names after aliases, distinct; unknown ones fall out."""
-    from vellumflow.functions.text import literal_map
-
-    return F.array_distinct(F.array_compact(F.transform(names, lambda n: F.element_at(literal_map({**{v: v for v in aliases.values()}, **aliases}), F.lower(F.trim(n))))))

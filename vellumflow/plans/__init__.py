@@ -6,6 +6,6 @@ from vellumflow.plans.registry import Registry
 
 
 def registries() -> list[Registry]:
-    from vellumflow.plans import reference_queries, training_core
+    from vellumflow.plans import record_queries, reference_queries, training_core
 
-    return [reference_queries.registry, training_core.registry]
+    return [reference_queries.registry, record_queries.registry, training_core.registry]

@@ -5,12 +5,14 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellumflow.functions import formats
 from vellumflow.functions import text as X
 
 DELIMITERS = ",;\t|"
@@ -45,17 +47,19 @@ def sniffed_delimiter(texts: pd.Series) -> pd.Series:
 _CELLS = "path string, row_no long, columns array<string>, row array<string>, delimiter string"
 
 
-def delimited_rows(files: DataFrame) -> DataFrame:
-    """path, row_no, columns, row, delimiter of path, text: the first record is the header, empty values stay ''."""
+def delimited_rows(files: DataFrame, batch: int = 10_000) -> DataFrame:
+    """path, row_no, columns, row, delimiter of path, text: the first record is the header, empty values stay ''.
+
+    Records are read off the text one by one and handed on in batches, never held together."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             for path, text, mark in zip(part["path"], part["text"], part["delimiter"], strict=True):
-                records = [r for r in csv.reader(io.StringIO(text), delimiter=mark) if r]
-                header = records[0] if records else []
-                rows = [(path, i, header, [*r[: len(header)], *[""] * (len(header) - len(r))], mark) for i, r in enumerate(records[1:])]
-                for at in range(0, len(rows), 10_000):
-                    yield pd.DataFrame(rows[at : at + 10_000], columns=["path", "row_no", "columns", "row", "delimiter"])
+                records = (r for r in csv.reader(io.StringIO(text), delimiter=mark) if r)
+                header = next(records, [])
+                numbered = enumerate(records)
+                while rows := [(path, i, header, [*r[: len(header)], *[""] * (len(header) - len(r))], mark) for i, r in islice(numbered, batch)]:
+                    yield pd.DataFrame(rows, columns=["path", "row_no", "columns", "row", "delimiter"])
 
     return files.select("path", "text", sniffed_delimiter("text").alias("delimiter")).mapInPandas(run, _CELLS)
 
@@ -74,3 +78,23 @@ def tab_text(rows: DataFrame) -> DataFrame:
 def csv_metadata(rows: DataFrame) -> DataFrame:
     """CSVMetadata of each file from its rows."""
     return rows.groupBy("path").agg(F.count("*").alias("row_count"), F.first("columns").alias("column_names"), F.first("delimiter").alias("delimiter")).select("*", F.size("column_names").cast("long").alias("column_count"), F.lit(True).alias("has_header"))
+
+
+def text_scan(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts, rejects) of path, content: .txt and .csv files are read, others are rejected with the reason."""
+    kind = formats.extension(F.col("path"))
+    reason = F.concat(F.lit("Unsupported text format: "), F.coalesce(kind, F.lit("none")))
+    return text_documents(files.filter(kind.isin(".txt", ".csv"))), files.filter(~F.coalesce(kind.isin(".txt", ".csv"), F.lit(False))).select("path", reason.alias("error"))
+
+
+def page_documents(texts: DataFrame) -> DataFrame:
+    """A text file as one document: path, page_content, metadata."""
+    meta = F.create_map(F.lit("source"), F.col("path"), F.lit("original_source"), F.col("path"), F.lit("encoding"), F.col("encoding"))
+    return texts.select("path", F.col("text").alias("page_content"), meta.alias("metadata"))
+
+
+def row_documents(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """A delimited file's rows as documents: path, page_content (`column: value` lines), metadata with the row's number."""
+    joined = rows.join(texts.select("path", "encoding"), "path")
+    meta = F.create_map(F.lit("source"), F.col("path"), F.lit("original_source"), F.col("path"), F.lit("row"), F.col("row_no").cast("string"), F.lit("encoding"), F.col("encoding"), F.lit("delimiter"), F.col("delimiter"))
+    return joined.select("path", "row_no", row_document(F.col("columns"), F.col("row")).alias("page_content"), meta.alias("metadata"))
