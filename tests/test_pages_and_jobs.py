@@ -277,3 +277,52 @@ def test_reports_of_a_run():
 
 def test_plan_of_schema():
     assert S.complexity(LETTER) == "simple"
+
+
+def test_chunks_follow_the_ladder(spark):
+    import random
+
+    from vellumflow.operators import text_extraction as X
+
+    pick = random.Random(3)
+    for _ in range(30):
+        text = "".join(pick.choice(["word ", "Sentence. ", "\n", "\n\n", "x" * pick.randint(1, 60), "é"]) for _ in range(pick.randint(0, 300)))
+        cut = X.chunks(text, 50, 10)
+        assert all(0 < len(c) <= 50 for c in cut) and all(c in text for c in cut)
+        whole = X.chunks(text, 50, 0)
+        assert "".join("".join(whole).split()) == "".join(text.split())
+    assert X.chunks("aa bb. cc\n\ndd", 8, 0) == ["aa bb", ". cc", "dd"] and X.chunks("y" * 9, 4, 0) == ["yyyy", "yyyy", "y"] and X.chunks("yyyyy", 4, 2) == ["yyyy", "yyy"] and X.chunks("a b c d e f", 5, 2) == ["a b c", "c d", "d e", "e f"]
+    docs = spark.createDataFrame([(1, "line of text\n\n" * 2000), (2, "short"), (3, None), (4, "  "), (5, "Vendor: A\n" + "x " * 9000 + "\nTerms: B")], "doc_id long, text string")
+    got = {r["doc_id"]: r["n"] for r in X.text_chunks(docs).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert got[2] == 1 and got[1] > 6 and set(got) == {1, 2, 5}
+    done = {r["doc_id"]: r for r in X.extract_text(docs, ["Vendor", "Terms"]).collect()}
+    assert json.loads(done[5]["data"]) == {"Vendor": "A", "Terms": "B"} and done[5]["is_chunked"] and done[5]["chunks_processed"] == got[5]
+    assert done[3]["data"] is None and done[3]["chunks_processed"] == 0 and len(done) == 5 and not done[2]["is_chunked"]
+
+
+def test_chunk_records_merge():
+    from vellumflow.operators.text_extraction import merged
+
+    assert merged([None, None]) is None and merged([None, 0, 5]) == 0
+    assert merged([[1, {"a": 1}], "odd", [{"a": 1}, 2]]) == [1, {"a": 1}, 2]
+    assert merged([{"a": None, "l": [1]}, {"a": 2, "l": [3], "b": 4}]) == {"a": 2, "l": [1], "b": 4}
+
+
+def test_scans_through_providers(spark):
+    def seeing():
+        def f(prompt, image):
+            if image == b"down":
+                raise RuntimeError("down")
+            return json.dumps([{"rec_texts": [image.decode()], "rec_scores": [0.5], "rec_polys": [[[0, 0], [2, 0], [2, 2], [0, 2]]]}]) if prompt == "ocr" else json.dumps([{"boxes": [[0, 0, 9, 9]], "labels": ["table"], "scores": [0.9]}])
+
+        return f
+
+    tools.register("seeing", seeing)
+    images = visual.frames(spark.createDataFrame([(1, [b"a", b"b"]), (2, [b"down"])], "doc_id long, frames array<binary>"))
+    docs, elements, layouts = visual.visual_scan(images, "seeing", "seeing")
+    assert {d["doc_id"]: d["full_text"] for d in docs.collect()} == {1: "a\n\nb", 2: ""}
+    assert {(e["page"], e["text"], e["region_id"]) for e in elements.collect()} == {(1, "a", "item_p1_1"), (2, "b", "item_p2_2")}
+    assert {x["doc_id"]: (x["total_regions"], x["error"]) for x in layouts.collect()} == {1: (2, None), 2: (0, "E4001: down")}
+    assert images.select(visual.encoded(F.col("image"))).first()[0] == "YQ=="
+    prompts = spark.createDataFrame([("table",), ("odd",)], "t string").select(layout.strategy_prompt(F.col("t"), {"table_specialized": "read the table"}, "look")).collect()
+    assert [p[0] for p in prompts] == ["read the table", "look"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumflow.functions.text import literal_map
@@ -85,3 +85,8 @@ def format_info(name: Column, content_mime: Column) -> Column:
 
 def accepted_size(length: Column, limit_mb: int = UPLOAD_LIMIT_MB) -> Column:
     return length <= limit_mb * 1024 * 1024
+
+
+def file_formats(files: DataFrame) -> DataFrame:
+    """path and the format decision of path, content: what the bytes say, then the name."""
+    return files.select("path", format_info(F.col("path"), mime_of_content(F.col("content"))).alias("f")).select("path", "f.*")

@@ -33,6 +33,21 @@ def content_type(region_type: Column) -> Column:
     return F.coalesce(F.element_at(literal_map(CONTENT_TYPES), region_type), F.lit("other"))
 
 
+def strategy_prompt(region_type: Column, prompts: dict[str, str], default: str = "") -> Column:
+    """The prompt of a region's strategy."""
+    return F.coalesce(F.element_at(literal_map(prompts), strategy(region_type)), F.lit(default)) if prompts else F.lit(default)
+
+
+def position_context(ordered: DataFrame) -> DataFrame:
+    """Adds position_text: where a region stands on its page, its place in the order, and what is before and behind it.
+
+    Of neighbours' output: `middle-left of page; Reading order: 2 of 5; Preceding: title; Following: text, table`."""
+    where = F.concat(B.position_label(F.col("bbox"), F.col("page_width"), F.col("page_height")), F.lit(" of page"))
+    listed = lambda name, c: F.when(F.size(c) > 0, F.concat(F.lit(f"{name}: "), F.array_join(c, ", ")))
+    place = F.concat(F.lit("Reading order: "), (F.col("order_index") + 1).cast("string"), F.lit(" of "), F.col("regions_on_page").cast("string"))
+    return ordered.withColumn("position_text", F.concat_ws("; ", where, place, listed("Preceding", "types_before"), listed("Following", "types_after")))
+
+
 def nested(regions: DataFrame, share: float = 0.8) -> DataFrame:
     """Adds parent_region_id: the first (by y0, x0) picture or table that covers `share` of a caption or text."""
     rank = F.row_number().over(W.partitionBy(*PAGE).orderBy("bbox.y0", "bbox.x0", "pos", "region_id"))

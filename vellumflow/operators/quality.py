@@ -104,6 +104,11 @@ def merged_issues(existing: DataFrame, more: DataFrame) -> DataFrame:
     return existing.unionByName(more.join(existing, ["doc_id", "issue_type", "field_path"], "left_anti"), allowMissingColumns=True)
 
 
+def of_severity(found: DataFrame, *severities: str) -> DataFrame:
+    """Issues of the given severities: 'critical' alone, or 'critical' and 'high' for those to see to first."""
+    return found.filter(F.col("severity").isin(*severities))
+
+
 def issue_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg(*[F.count_if(F.col("severity") == s).alias(f"{s}_issues") for s in SEVERITIES])
 

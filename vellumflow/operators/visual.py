@@ -15,6 +15,7 @@ from vellumflow.functions import boxes as B
 from vellumflow.functions.replies import counts, field
 from vellumflow.functions.text import literal_map
 from vellumflow.operators import layout
+from vellumflow.operators.tools import asked
 
 # File kinds, labels of layout providers, and the confidence of native text.
 IMAGE_EXTENSIONS = (".jpeg", ".jpg", ".png", ".bmp", ".tiff", ".tif", ".gif", ".webp")
@@ -195,3 +196,35 @@ def extraction_totals(results: DataFrame) -> DataFrame:
 def synthesised_result(totals: DataFrame, data: DataFrame) -> DataFrame:
     """Extraction results of synthesised documents: a page is a chunk."""
     return data.join(totals, "doc_id").withColumn("chunks_processed", F.col("pages")).withColumn("is_chunked", F.col("pages") > 1)
+
+
+# ---- scans through providers --------------------------------------------------------------
+def frames(images: DataFrame) -> DataFrame:
+    """doc_id, page, image of doc_id, frames (array of binaries): each frame of a file is a page, from 1."""
+    return images.select("doc_id", F.posexplode("frames").alias("_i", "image")).select("doc_id", (F.col("_i") + 1).alias("page"), "image")
+
+
+def scanned_pages(images: DataFrame, provider: str) -> DataFrame:
+    """Pages of doc_id, page, image through an OCR provider; a page whose call fails has no text, and its error."""
+    done = asked(images.select("doc_id", "page", "image"), provider, F.lit("ocr"), F.col("image")).drop("image")
+    read = ocr_pages(done.withColumnRenamed("reply", "output"))
+    return read.join(done.select("doc_id", "page", F.col("call_error").alias("error")), ["doc_id", "page"])
+
+
+def scanned_layouts(images: DataFrame, provider: str) -> tuple[DataFrame, DataFrame]:
+    """(regions, failures) of page images through a layout provider: a failing page leaves its document without regions of it, and never raises."""
+    done = asked(images.select("doc_id", "page", "image"), provider, F.lit("layout"), F.col("image")).drop("image")
+    failures = done.filter(F.col("call_error").isNotNull()).groupBy("doc_id").agg(F.min("call_error").alias("error"))
+    return item_regions(done.withColumnRenamed("reply", "output")), failures
+
+
+def visual_scan(images: DataFrame, ocr_provider: str, layout_provider: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, elements beside their regions, layouts): text and layout of page images in one go."""
+    pages = scanned_pages(images, ocr_provider)
+    regions, failures = scanned_layouts(images, layout_provider)
+    documents = visual_documents(pages)
+    return documents, with_layout(text_elements(pages), regions), document_layouts(documents, regions, failures)
+
+
+def encoded(image: Column) -> Column:
+    return F.base64(image)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellumflow.functions import boxes as B
 from vellumflow.functions import records, replies
-from vellumflow.operators import layout, loops, outputs, quality, results, tools, visual
+from vellumflow.operators import layout, loops, outputs, quality, results, text_extraction, tools, visual
 from vellumflow.plans import schema as S
 from vellumflow.plans.registry import Registry
 from vellumflow.session import spread, table
@@ -433,6 +433,34 @@ def q_tool_runs(spark: SparkSession, d: str) -> DataFrame:
     return tools.analysed(r.select("doc_id", "region_id"), r, "table").select("doc_id", "region_id", "error", "notes")
 
 
+@registry.add("q_text_chunks")
+def q_text_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Every text in chunks by the ladder of separators."""
+    return text_extraction.text_chunks(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"))
+
+
+@registry.add("q_extracted_texts")
+def q_extracted_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Label rules over whole texts or their chunks, merged by document."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return text_extraction.extract_text(docs, ["Vendor", "Region", "Terms"])
+
+
+@registry.add(
+    "q_position_context",
+    """WITH r AS (SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey % 90, l_partkey % 700, l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS BIGINT) AS order_index, count(*) OVER (PARTITION BY l_orderkey) AS n, l_suppkey % 90 * 9 + 4 AS yc FROM lineitem)
+    SELECT doc_id, order_index, CASE WHEN yc / 1200.0 < 0.33 THEN 'top' WHEN yc / 1200.0 < 0.67 THEN 'middle' ELSE 'bottom' END || '-left of page; Reading order: ' || order_index + 1 || ' of ' || n || CASE WHEN order_index > 0 THEN '; Preceding: ' || array_to_string(list_resize(CAST([] AS VARCHAR[]), CAST(least(3, order_index) AS INTEGER), 'text'), ', ') ELSE '' END || CASE WHEN order_index < n - 1 THEN '; Following: ' || array_to_string(list_resize(CAST([] AS VARCHAR[]), CAST(least(3, n - 1 - order_index) AS INTEGER), 'text'), ', ') ELSE '' END AS position_text FROM r""",
+)
+def q_position_context(spark: SparkSession, d: str) -> DataFrame:
+    """What a region's prompt says about its place."""
+    y = (F.col("l_suppkey") % 90 * 9).cast("double")
+    x = (F.col("l_partkey") % 700).cast("double") / 10
+    key = F.format_string("%09d-%09d-%09d", F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity").cast("long"))
+    r = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("l_linenumber").alias("pos"), key.alias("region_id"), F.lit("text").alias("region_type"), B.box(x, y, x + 8, y + 8).alias("bbox"), F.lit(1000.0).alias("page_width"), F.lit(1200.0).alias("page_height"))
+    placed = layout.position_context(layout.neighbours(layout.reading_order(r)))
+    return placed.select("doc_id", "order_index", "position_text")
+
+
 # ---- jobs ---------------------------------------------------------------------------------
 @registry.add(
     "q_submissions",
