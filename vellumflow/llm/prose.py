@@ -59,13 +59,13 @@ RARE_PAIR = 0.25
 PAIRS_BEFORE = 6
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_TOKEN = re.compile(r"\S+")
 _BULLET = re.compile(r"\s*(?:[-*•▪◦‣·–—+>☐☑✓✔→o○●■□]|\(?(?:\d{1,3}(?:\.\d{1,3})*|[a-zA-Z]|[ivxIVX]{1,5})[.)\]:]|\[\s?[\dxX ]{0,3}\]|\d{1,3}(?:\.\d{1,3})+)(?=\s|$)\s*")
 _LABEL = re.compile(r"\s*[^\W\d_][^:=\n.!?]{0,38}?\s*(?::|=|\.{3,}|…+|\t)\s*(?P<value>.*)$")
 _TERMINAL = re.compile(r"[.!?…。！？:;]+[\"'”’»)\]」』）]*\s*$")
 _ENDS = re.compile(r"[^\W\d_]{2,}[.!?…][\"'”’»)]*(?:\s|$)|[。！？]")
 _SPLIT = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+(?=[^\W\d_a-zа-яà-ÿ]|[\"'“‘«¿¡(])|(?<=[。！？])[”’」』）]*")
 _DUMP = re.compile(r"(?:\b[0-9a-fA-F]{2}\s){6}|(?:\b[0-9a-fA-F]{4}\s){6}|[A-Za-z0-9+/=]{45,}")
+_DIGIT = re.compile(r"[0-9]")
 _SOUND_TOKEN = re.compile(r"[^\w\s]*(?:[^\W\d_]+(?:[-'’./&@][^\W\d_]+)*|[+-]?[\d.,:/%-]+[^\W\d_]{0,3}|[A-Z]{1,4}[\d-]+)[^\w\s]*")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힣]")
 _VOWEL = re.compile(r"[aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿœąęóıаеёиоуыэюяіїєαεηιουωάέήίόύώ]", re.IGNORECASE)
@@ -161,7 +161,7 @@ class Statistics:
                 kind = self._kind(unit, group, cjk, alone)
             weights[kind] += size
             units += 1
-            unit_words += len(_TOKEN.findall(unit)) if not cjk else size / 2
+            unit_words += len(unit.split()) if not cjk else size / 2
         total = sum(weights.values()) or 1.0
         repeated = self.repeats(text, lower, cjk)
         disorder = self.disorder(lower, group)
@@ -223,7 +223,7 @@ class Statistics:
         if marked:
             body = unit[marked.end() :]
         words = _WORD.findall(body)
-        tokens = _TOKEN.findall(body)
+        tokens = body.split()
         if cjk and _CJK.search(body):
             return "sentence" if len(body) >= 8 and (re.search(r"[。！？，、]", body) or len(body) >= 20) else "entry"
         visible = sum(map(len, tokens)) or 1
@@ -236,7 +236,7 @@ class Statistics:
             return "entry"
         if (marked or len(tokens) <= 3) and len(words) <= 4 and longest <= 30 and (letters >= 0.3 * visible or any(c.isdigit() for c in body)) and len(plain) >= 0.5 * len(words) and not re.fullmatch(r"[\W_]+", body):
             return "entry"
-        if _DUMP.search(body):
+        if (longest >= 45 or _DIGIT.search(body)) and _DUMP.search(body):
             return "noise"
         if letters < 0.45 * visible or sound < 0.6 * visible or (longest > 60 and letters > 0):
             joined = longest > 60 and len(plain) < 3 and _joined_prose(body)
@@ -259,9 +259,12 @@ class Statistics:
     @staticmethod
     def repeats(text: str, lower: list[str], cjk: bool) -> float:
         """Share of places whose next four words (six characters without spaces) were there before, more than twice."""
-        items = [text[i : i + 6] for i in range(0, max(0, len(text) - 5))] if cjk or len(lower) < 8 else [" ".join(lower[i : i + 4]) for i in range(len(lower) - 3)]
-        counts = Counter(items)
-        return sum(c for c in counts.values() if c > max(3, 0.02 * len(items))) / max(1, len(items))
+        if cjk or len(lower) < 8:
+            counts, n = Counter(text[i : i + 6] for i in range(len(text) - 5)), max(1, len(text) - 5)
+        else:
+            counts, n = Counter(zip(lower, lower[1:], lower[2:], lower[3:], strict=False)), len(lower) - 3
+        often = max(3, 0.02 * n)
+        return sum(c for c in counts.values() if c > often) / n
 
     def disorder(self, lower: list[str], group: str) -> float:
         """Share of neighbouring frequent words that stand together far less often than by chance."""
