@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vellumflow.functions.values import let
+
 # Patterns in the order in which they apply; each sees the text that the ones before left.
 TEXT_PATTERNS = {
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
@@ -32,11 +33,6 @@ def hashed(value: Column, salt: str) -> Column:
     return F.sha2(F.concat(F.lit(salt), value.cast("string")), 256)
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value computed once, however often `use` mentions it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _masked_matches(text: Column, pattern: str, keep: int) -> Column:
     """The text with each match masked: what lies between matches, woven with the masked matches."""
 
@@ -46,7 +42,7 @@ def _masked_matches(text: Column, pattern: str, keep: int) -> Column:
         # most texts have no match, and then nothing is woven
         return F.when(t.rlike(pattern), F.array_join(parts, "")).otherwise(t)
 
-    return _let(text, woven)
+    return let(text, woven)
 
 
 def redacted_text(text: Column, keep_last: int = TEXT_KEEPS) -> Column:

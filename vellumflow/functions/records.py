@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from vellumflow.functions import privacy
 from vellumflow.functions.replies import field
-from vellumflow.functions.values import DATE_PATTERNS, PIVOT_YEAR, is_phone_field
+from vellumflow.functions.values import DATE_PATTERNS, PIVOT_YEAR, date_shape, is_phone_field
 from vellumflow.plans.schema import Field, _kind, fields
 
 Json = Any
@@ -109,12 +109,17 @@ def _strptime(pattern: str) -> str:
     return re.sub(r"[A-Za-z]+", lambda m: names[m.group()], pattern)
 
 
+_SHAPES = {p: re.compile(date_shape(p)) for p in DATE_PATTERNS}
+
+
 def iso_date(value: str) -> str:
     """The first pattern that fits; ISO-shaped text as it is, what can't be read unchanged."""
     bare = value.strip()
     if re.fullmatch(r"\d{4}-\d{2}-\d{2}", bare):
         return bare
-    for pattern in DATE_PATTERNS:
+    for pattern, shape in _SHAPES.items():
+        if not shape.match(bare):
+            continue
         try:
             day = datetime.strptime(bare, _strptime(pattern))
         except ValueError:
@@ -187,10 +192,14 @@ def without_nulls(value: Json, optional: frozenset[str], path: str = "") -> Json
 Violation = tuple[tuple[Json, ...], str, str]  # path, keyword, message
 
 
+_PYTHON = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
+
+
 def _is(value: Json, kind: str) -> bool:
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    tests = {"object": isinstance(value, dict), "array": isinstance(value, list), "string": isinstance(value, str), "boolean": isinstance(value, bool), "null": value is None, "number": number}
-    return number and float(value).is_integer() if kind == "integer" else tests.get(kind, True)
+    if kind in ("number", "integer"):
+        return number and (kind == "number" or float(value).is_integer())
+    return isinstance(value, _PYTHON[kind]) if kind in _PYTHON else True
 
 
 def _same(a: Json, b: Json) -> bool:
@@ -221,6 +230,9 @@ def _measures(value: Json, schema: Mapping[str, Json]) -> Iterator[tuple[str, st
         yield "uniqueItems", f"{value!r} has non-unique elements"
 
 
+_MEASURED = frozenset(("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minLength", "maxLength", "minItems", "maxItems", "minProperties", "maxProperties", "pattern", "uniqueItems"))
+
+
 def violations(value: Json, schema: Json, path: tuple[Json, ...] = ()) -> Iterator[Violation]:
     """Every violation, keyword by keyword in the schema's order."""
     if schema is False:
@@ -228,7 +240,7 @@ def violations(value: Json, schema: Json, path: tuple[Json, ...] = ()) -> Iterat
     if not isinstance(schema, dict):
         return
     known = schema.get("properties", {})
-    limits = dict(_measures(value, schema))
+    limits = dict(_measures(value, schema)) if not _MEASURED.isdisjoint(schema) else {}
     for key, rule in schema.items():
         if key in limits:
             yield path, key, limits[key]
@@ -420,7 +432,7 @@ def validity(schema: Mapping[str, Json]) -> Callable[[Column], Column]:
             return None
         errors = [f"{dotted(p)}: {m}" for p, _, m in violations(r, schema)]
         missing = [p for p in required if _get(r, p) is None]
-        worst = most_telling(violations(without_nulls(r, optional), schema))
+        worst = most_telling(violations(without_nulls(r, optional), schema)) if errors else None  # fewer nulls break no rule anew
         return {"is_valid": not errors and not missing, "errors": errors, "missing_required": missing, "violation": None if worst is None else {"field_path": dotted(worst[0]), "message": f"Schema validation failed: {worst[2]}"}}
 
     @F.pandas_udf(_VALIDITY)

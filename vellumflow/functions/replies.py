@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vellumflow.functions.text import literal_map
-from vellumflow.functions.values import clamped, whole_json
+from vellumflow.functions.values import clamped, let, whole_json
 
 Builder = Callable[[Column], Column]
 
@@ -120,7 +120,7 @@ def objects(v: Column) -> Column:
 
 
 def shaped(v: Column, shape: Mapping[str, Builder]) -> Column:
-    return F.struct(*[build(field(v, name)).alias(name) for name, build in shape.items()])
+    return F.struct(*[let(field(v, name), build).alias(name) for name, build in shape.items()])
 
 
 def shaped_list(shape: Mapping[str, Builder], needs: Sequence[str] = ()) -> Builder:
@@ -212,35 +212,48 @@ def reply_object(reply: Column) -> Column:
 
     status: 'ok', or 'parse_error' where there is no object; a reply that is sound JSON of another kind is an error as well."""
     is_object = lambda v: v.try_cast("struct<_:boolean>").isNotNull()
-    clean = whole_json(reply)
-    inner = F.when(clean.isNull(), whole_json(between_braces(reply)))
-    found = F.when(is_object(clean), clean).when(is_object(inner), inner)
-    return F.struct(found.alias("object"), is_object(clean).alias("clean"), F.when(found.isNull(), "parse_error").otherwise("ok").alias("status"))
+    said = lambda clean, found: F.struct(found.alias("object"), is_object(clean).alias("clean"), F.when(found.isNull(), "parse_error").otherwise("ok").alias("status"))
+    embedded = F.when(reply.isNotNull(), whole_json(between_braces(reply)))
+
+    def judged(clean: Column) -> Column:
+        inner = F.when(clean.isNull(), embedded)
+        return let(F.when(is_object(clean), clean).otherwise(let(inner, lambda v: F.when(is_object(v), v))), lambda found: said(clean, found))
+
+    return let(whole_json(reply), judged)
 
 
 def object_or_raw(reply: Column, preview: int = 200) -> Column:
     """STRUCT<object, raw_response>: tools keep the start of a reply that holds no object."""
-    r = reply_object(reply)
-    return F.struct(r["object"].alias("object"), F.when(r["object"].isNull(), F.left(reply, F.lit(preview))).alias("raw_response"))
+
+    def read(r: Column) -> Column:
+        return F.struct(r["object"].alias("object"), F.when(r["object"].isNull(), F.left(reply, F.lit(preview))).alias("raw_response"))
+
+    return let(reply_object(reply), read)
 
 
 def region_reply(reply: Column) -> Column:
     """STRUCT<content, confidence, reasoning, status>; confidence is clamped only where the reply is nothing but JSON."""
-    r = reply_object(reply)
-    o = r["object"]
-    said = number(field(o, "confidence"), 0.5)
-    return F.struct(as_is(field(o, "extracted_content")).alias("content"), F.when(r["clean"], clamped(said)).when(o.isNotNull(), said).alias("confidence"), field(o, "reasoning").try_cast("string").alias("reasoning"), r["status"].alias("status"))
+
+    def read(r: Column) -> Column:
+        o = r["object"]
+        said = number(field(o, "confidence"), 0.5)
+        return F.struct(as_is(field(o, "extracted_content")).alias("content"), F.when(r["clean"], clamped(said)).when(o.isNotNull(), said).alias("confidence"), field(o, "reasoning").try_cast("string").alias("reasoning"), r["status"].alias("status"))
+
+    return let(reply_object(reply), read)
 
 
 def synthesis_reply(reply: Column) -> Column:
     """STRUCT<data, field_confidence, overall_confidence, reasoning, status>; an embedded object without extracted_data is the data."""
-    r = reply_object(reply)
-    o = r["object"]
-    said, data = number(field(o, "overall_confidence"), 0.5), as_is(field(o, "extracted_data"))
-    return F.struct(
-        F.when(r["clean"], data).otherwise(F.coalesce(data, o)).alias("data"), field(o, "field_confidence").try_cast("map<string,double>").alias("field_confidence"),
-        F.when(r["clean"], clamped(said)).when(o.isNotNull(), said).alias("overall_confidence"), field(o, "reasoning").try_cast("string").alias("reasoning"), r["status"].alias("status"),
-    )
+
+    def read(r: Column) -> Column:
+        o = r["object"]
+        said, data = number(field(o, "overall_confidence"), 0.5), as_is(field(o, "extracted_data"))
+        return F.struct(
+            F.when(r["clean"], data).otherwise(F.coalesce(data, o)).alias("data"), field(o, "field_confidence").try_cast("map<string,double>").alias("field_confidence"),
+            F.when(r["clean"], clamped(said)).when(o.isNotNull(), said).alias("overall_confidence"), field(o, "reasoning").try_cast("string").alias("reasoning"), r["status"].alias("status"),
+        )
+
+    return let(reply_object(reply), read)
 
 
 ISSUE = {
@@ -251,10 +264,13 @@ ISSUE = {
 
 def verification_reply(reply: Column) -> Column:
     """STRUCT<consistency_score, issues, passed_checks, recommendations, analysis, status>: unknown issue types are format errors, unknown severities medium."""
-    r = reply_object(reply)
-    o = r["object"]
-    texts = lambda name: F.coalesce(field(o, name).try_cast("array<string>"), F.array().cast("array<string>"))
-    return F.struct(F.when(o.isNotNull(), number(field(o, "consistency_score"), 0.5)).alias("consistency_score"), shaped_list(ISSUE)(field(o, "issues")).alias("issues"), texts("passed_checks").alias("passed_checks"), texts("recommendations").alias("recommendations"), F.coalesce(field(o, "analysis").try_cast("string"), F.lit("")).alias("analysis"), r["status"].alias("status"))
+
+    def read(r: Column) -> Column:
+        o = r["object"]
+        texts = lambda name: F.coalesce(field(o, name).try_cast("array<string>"), F.array().cast("array<string>"))
+        return F.struct(F.when(o.isNotNull(), number(field(o, "consistency_score"), 0.5)).alias("consistency_score"), shaped_list(ISSUE)(field(o, "issues")).alias("issues"), texts("passed_checks").alias("passed_checks"), texts("recommendations").alias("recommendations"), F.coalesce(field(o, "analysis").try_cast("string"), F.lit("")).alias("analysis"), r["status"].alias("status"))
+
+    return let(reply_object(reply), read)
 
 
 def id_list(v: Column) -> Column:
@@ -265,8 +281,8 @@ def id_list(v: Column) -> Column:
 
 def plan_steps(v: Column) -> Column:
     def one(o: Column, i: Column) -> Column:
-        said = lambda name, default: F.coalesce(as_text(field(o, name)), F.lit(default)).alias(name)
-        return F.struct(F.coalesce(whole(field(o, "step_number")), (i + 1).cast("bigint")).alias("step_number"), said("action", "Unknown action"), said("target", "Unknown target"), said("strategy", "default"), said("expected_output", ""), field(o, "fallback").try_cast("string").alias("fallback"), id_list(field(o, "depends_on")).alias("depends_on"))
+        said = lambda name, default: F.coalesce(let(field(o, name), as_text), F.lit(default)).alias(name)
+        return F.struct(F.coalesce(let(field(o, "step_number"), whole), (i + 1).cast("bigint")).alias("step_number"), said("action", "Unknown action"), said("target", "Unknown target"), said("strategy", "default"), said("expected_output", ""), field(o, "fallback").try_cast("string").alias("fallback"), let(field(o, "depends_on"), id_list).alias("depends_on"))
 
     return F.coalesce(F.transform(objects(v), one), F.array())
 
@@ -292,9 +308,12 @@ def thresholds(v: Column) -> Column:
 
 def plan_reply(reply: Column) -> Column:
     """STRUCT<steps, region_priorities, challenges, thresholds, status>."""
-    r = reply_object(reply)
-    o = r["object"]
-    return F.struct(plan_steps(field(o, "steps")).alias("steps"), shaped_list(PRIORITY)(field(o, "region_priorities")).alias("region_priorities"), F.coalesce(challenges(field(o, "challenges").try_cast("array<string>")), F.array().cast("array<string>")).alias("challenges"), thresholds(field(o, "quality_thresholds")).alias("thresholds"), r["status"].alias("status"))
+
+    def read(r: Column) -> Column:
+        o = r["object"]
+        return F.struct(plan_steps(field(o, "steps")).alias("steps"), shaped_list(PRIORITY)(field(o, "region_priorities")).alias("region_priorities"), F.coalesce(challenges(field(o, "challenges").try_cast("array<string>")), F.array().cast("array<string>")).alias("challenges"), let(field(o, "quality_thresholds"), thresholds).alias("thresholds"), r["status"].alias("status"))
+
+    return let(reply_object(reply), read)
 
 
 def agent_reply(structured: Column, messages: Column) -> Column:

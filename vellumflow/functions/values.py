@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ PHONE_HINTS = ("phone", "telephone", "tel", "mobile", "cell")
 PIVOT_YEAR = 2069  # a two-digit year from 69 on is in the last century
 
 
-def _shape(pattern: str) -> str:
+def date_shape(pattern: str) -> str:
     """What a value must look like for a pattern, since the parser alone takes years of any length."""
     parts = {"yy": r"\d{2}", "y": r"\d{4}", "MMMM": r"[A-Za-z]{3,}", "MMM": r"[A-Za-z]{3}", "M": r"\d{1,2}", "d": r"\d{1,2}"}
     out, i = "", 0
@@ -33,7 +35,7 @@ def parsed_date(value: Column) -> Column:
         day = F.try_to_date(F.initcap(text) if "MMM" in p else text, p)
         if p.endswith("yy"):
             day = F.when(F.year(day) >= PIVOT_YEAR, F.add_months(day, -1200)).otherwise(day)
-        tries.append(F.when(text.rlike(_shape(p)), day))
+        tries.append(F.when(text.rlike(date_shape(p)), day))
     return F.coalesce(*tries)
 
 
@@ -76,10 +78,15 @@ def clamped(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), value))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often `use` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def whole_json(text: Column) -> Column:
     """VARIANT of a text that is one complete JSON value and nothing else; else null."""
     wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).try_cast("array<variant>")
-    return F.when(F.size(wrapped) == 1, F.get(wrapped, F.lit(0)))
+    return let(wrapped, lambda w: F.when(F.size(w) == 1, F.get(w, F.lit(0))))
 
 
 def tolerant_json(reply: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellumflow.functions import boxes as B
-from vellumflow.functions.replies import counts, field
+from vellumflow.functions.replies import counts, field, is_text
 from vellumflow.functions.text import literal_map
 from vellumflow.operators import layout
 from vellumflow.operators.tools import asked
@@ -46,39 +46,42 @@ def _element(text: Column, confidence: Column, points: Column) -> Column:
     return F.struct(text.alias("text"), _around(points).alias("bbox"), F.coalesce(confidence, F.lit(0.0)).alias("confidence"))
 
 
-def ocr_elements(output: Column) -> Column:
-    """array<struct<text, bbox, confidence>> of one page's OCR output (VARIANT), blank texts left out.
+def _points(v: Column) -> Column:
+    return v.try_cast("array<array<double>>")
 
-    Two forms: an object with rec_texts, rec_scores and rec_polys, or lines of [points, [text, score]],
-    bare or in a list of their own. A missing score counts 0, a missing outline gives an empty box."""
-    points = lambda v: v.try_cast("array<array<double>>")
-    first = F.try_variant_get(output, "$[0]", "variant")
-    texts = field(first, "rec_texts").try_cast("array<string>")
-    scores, outlines = field(first, "rec_scores").try_cast("array<double>"), field(first, "rec_polys").try_cast("array<variant>")
 
-    def from_lists(t: Column, i: Column) -> Column:
-        p = points(F.get(outlines, i))
-        return _element(t, F.get(scores, i), F.when(F.size(p) >= 4, p))
+def _pair(line: Column) -> Column:
+    return F.try_variant_get(line, "$[1]", "array<variant>")
 
-    def pair(line: Column) -> Column:
-        return F.try_variant_get(line, "$[1]", "array<variant>")
 
-    def is_line(line: Column) -> Column:
-        text = F.get(pair(line), F.lit(0))
-        return F.coalesce((F.size(line.try_cast("array<variant>")) == 2) & (F.size(pair(line)) == 2) & F.to_json(text).startswith('"') & F.try_variant_get(line, "$[0]", "array<variant>").isNotNull(), F.lit(False))
+def _is_line(line: Column) -> Column:
+    text = F.get(_pair(line), F.lit(0))
+    return F.coalesce((F.size(line.try_cast("array<variant>")) == 2) & (F.size(_pair(line)) == 2) & is_text(text) & F.try_variant_get(line, "$[0]", "array<variant>").isNotNull(), F.lit(False))
 
-    def from_line(line: Column) -> Column:
-        return _element(F.get(pair(line), F.lit(0)).try_cast("string"), F.get(pair(line), F.lit(1)).try_cast("double"), points(F.try_variant_get(line, "$[0]", "variant")))
 
-    lines = F.when(is_line(first), output.try_cast("array<variant>")).otherwise(F.coalesce(first.try_cast("array<variant>"), output.try_cast("array<variant>")))
-    legacy = F.transform(F.filter(lines, is_line), from_line)
-    found = F.when(texts.isNotNull(), F.transform(texts, from_lists)).otherwise(legacy)
-    return F.coalesce(F.filter(found, lambda e: F.length(e["text"]) > 0), F.array())
+def _from_lists(z: Column) -> Column:
+    p = _points(z["outline"])
+    return _element(z["text"], z["score"], F.when(F.size(p) >= 4, p))
+
+
+def _from_line(line: Column) -> Column:
+    return _element(F.get(_pair(line), F.lit(0)).try_cast("string"), F.get(_pair(line), F.lit(1)).try_cast("double"), _points(F.try_variant_get(line, "$[0]", "variant")))
 
 
 def ocr_pages(outputs: DataFrame) -> DataFrame:
-    """doc_id, page, elements, text, confidence of doc_id, page, output (JSON text); confidence is the elements' mean, 0 for none."""
-    read = outputs.select("doc_id", "page", ocr_elements(F.try_parse_json("output")).alias("elements"))
+    """doc_id, page, elements (array<struct<text, bbox, confidence>>), text, confidence of doc_id, page, output (JSON text).
+
+    An output has one of two forms: an object with rec_texts, rec_scores and rec_polys, or lines of
+    [points, [text, score]], bare or in a list of their own. Blank texts are left out, a missing score
+    counts 0, a missing outline gives an empty box; confidence is the elements' mean, 0 for none. The
+    steps are projections of their own, so that no output is parsed twice."""
+    parsed = outputs.select("doc_id", "page", F.try_parse_json("output").alias("v"))
+    begun = parsed.select("*", F.try_variant_get("v", "$[0]", "variant").alias("f"))
+    lists = F.arrays_zip(field(F.col("f"), "rec_texts").try_cast("array<string>").alias("text"), F.coalesce(field(F.col("f"), "rec_scores").try_cast("array<double>"), F.array().cast("array<double>")).alias("score"), F.coalesce(field(F.col("f"), "rec_polys").try_cast("array<variant>"), F.array().cast("array<variant>")).alias("outline"))
+    lines = F.when(_is_line(F.col("f")), F.col("v").try_cast("array<variant>")).otherwise(F.coalesce(F.col("f").try_cast("array<variant>"), F.col("v").try_cast("array<variant>")))
+    split = begun.select("doc_id", "page", lists.alias("lists"), F.when(lists.isNull(), lines).alias("lines"))
+    found = F.coalesce(F.transform("lists", _from_lists), F.transform(F.filter("lines", _is_line), _from_line))
+    read = split.select("doc_id", "page", F.coalesce(F.filter(found, lambda e: F.length(e["text"]) > 0), F.array()).alias("elements"))
     mean = F.aggregate("elements", F.lit(0.0), lambda a, e: a + e["confidence"]) / F.size("elements")
     return read.select("doc_id", "page", "elements", F.array_join(F.transform("elements", lambda e: e["text"]), "\n").alias("text"), F.when(F.size("elements") > 0, mean).otherwise(0.0).alias("confidence"), F.lit("ocr").alias("method"))
 
