@@ -54,7 +54,7 @@ ORDER = {
 
 
 def _order_records(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
+    o = spread(table(spark, d, "orders"), "o_orderkey")
     placed = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "MMMM d, yyyy")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "dd.MM.yyyy"))
     flag = F.when(F.col("o_orderstatus") == "O", "Yes").otherwise("no")
     return o.select("o_orderkey", _json(key="o_orderkey", total=F.format_string("%.2f", "o_totalprice"), placed=placed, open=flag, pages=F.concat((F.col("o_custkey") % 90).cast("string"), F.lit(".7")), tags="o_orderpriority", phone=F.format_string("(212) 555-%04d", F.col("o_orderkey") % 10000), priority="o_orderpriority", extra=F.lit(1)).alias("record"))
@@ -189,7 +189,7 @@ def _wrapped(reply: Column) -> Column:
 )
 def q_region_replies(spark: SparkSession, d: str) -> DataFrame:
     reply = _json(extracted_content=F.struct(F.col("o_orderstatus").alias("s")), confidence=F.col("o_custkey") % 30 / 20.0, reasoning=F.lit("r"))
-    read = table(spark, d, "orders").select("o_orderkey", replies.region_reply(_wrapped(reply)).alias("r"))
+    read = spread(table(spark, d, "orders"), "o_orderkey").select("o_orderkey", replies.region_reply(_wrapped(reply)).alias("r"))
     return read.select("o_orderkey", "r.confidence", F.try_variant_get("r.content", "$.s", "string").alias("status_read"), "r.status")
 
 
@@ -200,7 +200,7 @@ def q_region_replies(spark: SparkSession, d: str) -> DataFrame:
 def q_verification_replies(spark: SparkSession, d: str) -> DataFrame:
     done = F.col("o_orderstatus") == "F"
     issue = F.struct(F.when(done, "null_value").otherwise("strange").alias("issue_type"), F.when(done, "HIGH").otherwise("grave").alias("severity"), F.lit("p").alias("field_path"))
-    read = table(spark, d, "orders").select("o_orderkey", replies.verification_reply(_wrapped(_json(issues=F.array(issue), consistency_score=F.col("o_custkey") % 11 / 10.0))).alias("v"))
+    read = spread(table(spark, d, "orders"), "o_orderkey").select("o_orderkey", replies.verification_reply(_wrapped(_json(issues=F.array(issue), consistency_score=F.col("o_custkey") % 11 / 10.0))).alias("v"))
     first = F.get("v.issues", F.lit(0))
     return read.select("o_orderkey", F.col("v.consistency_score").alias("consistency"), first["issue_type"].alias("issue_type"), first["severity"].alias("severity"), "v.status")
 
@@ -213,7 +213,7 @@ def q_plan_replies(spark: SparkSession, d: str) -> DataFrame:
     """A lone dependency is a list of one, and 0 is none."""
     step = F.struct(F.col("o_orderpriority").alias("action"), F.col("o_custkey").alias("depends_on"))
     reply = _json(steps=F.array(step), challenges=F.array(F.lit("Tables"), F.lit("chart_graph"), F.lit("unheard of")), quality_thresholds=F.struct((F.col("o_custkey") % 5).alias("max_iterations")))
-    read = table(spark, d, "orders").select("o_orderkey", replies.plan_reply(_wrapped(reply)).alias("p"))
+    read = spread(table(spark, d, "orders"), "o_orderkey").select("o_orderkey", replies.plan_reply(_wrapped(reply)).alias("p"))
     first = F.get("p.steps", F.lit(0))
     return read.select("o_orderkey", first["action"].alias("action"), F.get(first["depends_on"], F.lit(0)).alias("depends_on"), F.array_join("p.challenges", ",").alias("challenges"), "p.thresholds.max_iterations", "p.thresholds.min_field_confidence")
 
@@ -278,7 +278,7 @@ def q_layout_items(spark: SparkSession, d: str) -> DataFrame:
     x = (F.col("o_custkey") % 100).cast("double")
     item = F.struct(F.array(F.array(F.lit(1.0)), F.array(x, F.lit(0.0), x + 5, F.lit(9.0))).alias("boxes"), F.array(F.lit("text"), kind).alias("labels"), F.array(F.lit(0.9), F.col("o_custkey") % 4 / 4.0).alias("scores"))
     empty = F.struct(F.array(F.array(F.lit(2.0))).alias("boxes"), F.array(F.lit("text"), F.lit("text")).alias("labels"), F.array(F.lit(0.9), F.lit(0.9)).alias("scores"))
-    pages = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.to_json(F.array(empty, item)).alias("output"))
+    pages = spread(table(spark, d, "orders"), "o_orderkey").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.to_json(F.array(empty, item)).alias("output"))
     return visual.item_regions(pages).select("doc_id", "region_id", "region_type", "confidence", F.col("bbox.x0").alias("x0"))
 
 
@@ -347,7 +347,7 @@ def q_region_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- outputs ------------------------------------------------------------------------------
 def _results(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
+    o = spread(table(spark, d, "orders"), "o_orderkey")
     said = F.struct(F.lit("status").alias("field_path"), F.col("o_orderstatus").alias("value"), F.lit(0.85).alias("confidence"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("line "), F.col("o_orderkey").cast("string"))).alias("source_text"), F.lit(None).cast("string").alias("reasoning"))
     data = _json(key=F.col("o_orderkey").cast("string"), status="o_orderstatus", buyer=F.struct(F.col("o_custkey").alias("number"), F.lit(None).cast("string").alias("name")), tags=F.array(F.struct(F.col("o_orderpriority").alias("p"), F.lit(None).cast("string").alias("q"))))
     return o.select(F.col("o_orderkey").alias("doc_id"), data.alias("data"), F.lit("rules").alias("model_used"), (F.col("o_custkey") / 8.0).alias("processing_time_seconds"), F.col("o_custkey").alias("prompt_tokens"), F.lit(5).cast("long").alias("completion_tokens"), (F.col("o_custkey") % 3 + 1).alias("chunks_processed"), (F.col("o_custkey") % 3 > 0).alias("is_chunked"), F.array(said).alias("fields"))
