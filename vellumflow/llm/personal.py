@@ -286,6 +286,12 @@ def train(rows: list[tuple[str, list[tuple[int, int, str]], str]] | None = None,
     return Field({k: w[i].astype(np.float32) for k, i in names.items()}, (trans + banned).astype(np.float32), (start + no_start).astype(np.float32))
 
 
+@lru_cache(1)
+def trained() -> Field:
+    """The field fitted once a process to the example table."""
+    return train()
+
+
 #: What a person's name has at most, and how far before a span its title, given name or label may begin.
 NAME_WORDS, NAME_LETTERS, LOOK_BACK = 8, 30, 64
 

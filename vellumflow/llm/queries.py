@@ -74,7 +74,7 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
-    weights = spark.sparkContext.broadcast(personal.train())
+    weights = spark.sparkContext.broadcast(personal.trained())
     texts = personal.spans_of(_extractions(spark, d), "text_extractions", "extraction_id", "text", weights)
     signers = personal.spans_of(spread(table(spark, d, "signatures").select("signature_id", "signer_name"), "signature_id"), "signatures", "signature_id", "signer_name", weights)
     mails = personal.spans_of(spread(table(spark, d, "employee_rows").select("row_id", "email"), "row_id").distinct(), "employee_rows", "row_id", "email", weights)
