@@ -69,7 +69,7 @@ def shared_folder(spark: SparkSession) -> str:
     given = context._jsc.sc().getCheckpointDir()
     if not given.isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local["):
+        if named is None and context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "vellumflow-checkpoints"))
         given = context._jsc.sc().getCheckpointDir()
