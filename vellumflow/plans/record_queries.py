@@ -11,8 +11,8 @@ from vellumflow.operators import layout, loops, outputs, quality, results, text_
 from vellumflow.plans import schema as S
 from vellumflow.plans.registry import Registry
 from vellumflow.session import spread, table
-from vellumflow.sources import delimited
-from vellumflow.streaming import lifecycle
+from vellumflow.sources import delimited, workbook
+from vellumflow.streaming import jobs, lifecycle
 
 registry = Registry()
 
@@ -504,3 +504,100 @@ def q_row_documents(spark: SparkSession, d: str) -> DataFrame:
     rows = n.select(F.lit("nation.csv").alias("path"), F.col("n_nationkey").alias("row_no"), F.array(F.lit("key"), F.lit("name")).alias("columns"), F.array(F.col("n_nationkey").cast("string"), F.col("n_name")).alias("row"), F.lit(",").alias("delimiter"))
     texts = spark.createDataFrame([("nation.csv", "utf-8")], "path string, encoding string")
     return delimited.row_documents(rows, texts).select("row_no", "page_content")
+
+
+# ---- filters, counts and states -----------------------------------------------------------
+@registry.add(
+    "q_job_snapshots",
+    """SELECT event_id AS job_id, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status, CASE WHEN event_type = 'purchase' THEN ts + INTERVAL 2 HOUR WHEN event_type = 'click' THEN ts + INTERVAL 1 HOUR ELSE ts END AS updated_at FROM events WHERE event_type <> 'view'""",
+)
+def q_job_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs with their executions: the state, and the latest moment that is known. Jobs without an execution have none."""
+    e, kind = table(spark, d, "events"), F.col("event_type")
+    after = lambda h, *kinds: F.when(kind.isin(*kinds), F.col("ts") + F.make_interval(hours=F.lit(h)))
+    created = e.select(F.col("event_id").alias("job_id"), F.col("ts").alias("created_at"))
+    state = F.when(kind == "signup", "queued").when(kind == "click", "running").when(kind == "purchase", "completed").otherwise("lost")
+    runs = e.filter(kind != "view").select(F.col("event_id").alias("job_id"), state.alias("state"), after(1, "click", "purchase").alias("started_at"), after(2, "purchase").alias("completed_at"), F.lit(None).cast("timestamp_ntz").alias("progress_at"))
+    return jobs.snapshot(created, runs)
+
+
+@registry.add("q_result_answers", "SELECT event_id AS job_id, CASE event_type WHEN 'purchase' THEN 200 WHEN 'error' THEN 500 ELSE 425 END AS code, CASE WHEN event_type = 'purchase' THEN CAST(user_id AS VARCHAR) END AS result FROM events")
+def q_result_answers(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    status = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "click", "processing").otherwise("pending")
+    return lifecycle.result_answers(e.select(F.col("event_id").alias("job_id"), status.alias("status")), e.select(F.col("event_id").alias("job_id"), F.col("user_id").cast("string").alias("result")))
+
+
+def _typed_regions(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("l_linestatus") == "O", "table").when(F.col("l_returnflag") == "R", "picture").otherwise("text")
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("region_id"), kind.alias("region_type"))
+
+
+_TYPED = "typed AS (SELECT l_orderkey AS doc_id, concat_ws('-', l_linenumber, l_partkey, l_suppkey) AS region_id, CASE WHEN l_linestatus = 'O' THEN 'table' WHEN l_returnflag = 'R' THEN 'picture' ELSE 'text' END AS region_type FROM lineitem)"
+
+
+@registry.add("q_regions_of_type", f"WITH {_TYPED} SELECT * FROM typed WHERE region_type IN ('table', 'picture')")
+def q_regions_of_type(spark: SparkSession, d: str) -> DataFrame:
+    return visual.of_type(_typed_regions(spark, d), "table", "picture")
+
+
+@registry.add("q_region_type_counts", f"WITH {_TYPED}, n AS (SELECT doc_id, region_type, count(*) AS c FROM typed GROUP BY 1, 2) SELECT doc_id, string_agg(region_type || '=' || c, ',' ORDER BY region_type) AS counts FROM n GROUP BY 1")
+def q_region_type_counts(spark: SparkSession, d: str) -> DataFrame:
+    counted = layout.type_counts(_typed_regions(spark, d))
+    return counted.select("doc_id", F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("counts"))
+
+
+_STATES = "f AS (SELECT o_orderkey AS doc_id, 'a' AS field_path, CASE WHEN o_orderstatus = 'O' THEN 'x' END AS value, true AS required, CASE WHEN o_orderstatus = 'O' THEN o_custkey % 10 / 10.0::DOUBLE END AS confidence FROM orders)"
+
+
+def _status_fields(spark: SparkSession, d: str) -> DataFrame:
+    open_ = F.col("o_orderstatus") == "O"
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("a").alias("field_path"), F.when(open_, "x").alias("value"), F.lit(True).alias("required"), F.when(open_, F.col("o_custkey") % 10 / 10.0).alias("confidence"))
+
+
+@registry.add("q_urgent_issues", f"WITH {_STATES} SELECT doc_id, CASE WHEN value IS NULL THEN 'critical' ELSE 'high' END AS severity FROM f WHERE value IS NULL OR confidence < 0.25")
+def q_urgent_issues(spark: SparkSession, d: str) -> DataFrame:
+    return quality.of_severity(quality.issues(_status_fields(spark, d)), "critical", "high").select("doc_id", "severity")
+
+
+@registry.add("q_concerned_fields", f"WITH {_STATES} SELECT doc_id, field_path, value FROM f WHERE value IS NULL OR confidence < 0.5")
+def q_concerned_fields(spark: SparkSession, d: str) -> DataFrame:
+    f = _status_fields(spark, d)
+    return quality.concerned_fields(f, quality.issues(f)).select("doc_id", "field_path", "value")
+
+
+@registry.add("q_refreshed_issues", f"WITH {_STATES} SELECT doc_id, CASE WHEN value IS NULL THEN 'missing_required_field' ELSE 'low_confidence' END AS issue_type, coalesce(CASE WHEN doc_id % 2 = 0 THEN 'final' END, 'before') AS current_value FROM f WHERE value IS NULL OR confidence < 0.5")
+def q_refreshed_issues(spark: SparkSession, d: str) -> DataFrame:
+    """Issues show the final value of their field where there is one."""
+    f = _status_fields(spark, d)
+    found = quality.issues(f).withColumn("current_value", F.lit("before"))
+    return quality.refreshed(found, f.withColumn("value", F.when(F.col("doc_id") % 2 == 0, "final"))).select("doc_id", "issue_type", "current_value")
+
+
+@registry.add(
+    "q_sheet_sizes",
+    """SELECT 's' || s_nationkey % 3 AS sheet, CAST(max(s_suppkey + 1) AS BIGINT) AS row_count, CAST(3 AS BIGINT) AS column_count, bool_or(s_acctbal < 0) AS has_formulas, CASE WHEN min(s_suppkey) = 0 THEN 'col_1,col_2,col_3' END AS headers FROM supplier GROUP BY 1""",
+)
+def q_sheet_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as the cells of three sheets: sizes, formulas, and headers where a first row says anything."""
+    cell = lambda i, v, kind: F.struct(F.lit(i).alias("col_idx"), v.cast("string").alias("value"), kind.alias("data_type"))
+    made = F.array(cell(1, F.col("s_suppkey"), F.lit("number")), cell(2, F.col("s_name"), F.lit("string")), cell(3, F.col("s_acctbal"), F.when(F.col("s_acctbal") < 0, "formula").otherwise("number")))
+    cells = table(spark, d, "supplier").select(F.lit("a.xlsx").alias("path"), F.concat(F.lit("s"), (F.col("s_nationkey") % 3).cast("string")).alias("sheet"), (F.col("s_suppkey") + 1).alias("row_idx"), F.inline(made))
+    s = workbook.sheet_sizes(cells)
+    return s.select("sheet", F.col("row_count").cast("long").alias("row_count"), F.col("column_count").cast("long").alias("column_count"), "has_formulas", F.array_join("headers", ",").alias("headers"))
+
+
+@registry.add(
+    "q_prompt_previews",
+    """SELECT o_orderkey AS doc_id, '- status: confidence=0.85, value=' || o_orderstatus AS previews, '- status: ' || o_orderstatus || ' (confidence: 85%)' || CASE WHEN o_orderkey % 2 = 0 THEN chr(10) || '  Source: "line ' || o_orderkey || '..."' ELSE '' END AS details FROM orders""",
+)
+def q_prompt_previews(spark: SparkSession, d: str) -> DataFrame:
+    return _results(spark, d).select("doc_id", outputs.field_previews(F.col("fields")).alias("previews"), outputs.field_details(F.col("fields")).alias("details"))
+
+
+@registry.add(
+    "q_refinement_feedback",
+    f"""WITH {_STATES} SELECT doc_id, CASE WHEN value IS NULL THEN 'text_comprehensive_search' ELSE 'text_confidence_boost' END AS strategy, 'a' AS focus, CASE WHEN value IS NULL THEN '[CRITICAL] a: Required field ''a'' is missing' || chr(10) || '   Suggestion: Re-extract with focus on finding a' ELSE CASE WHEN confidence < 0.25 THEN '[HIGH]' ELSE '[MEDIUM]' END || ' a: Field ''a'' has low confidence (' || printf('%.2f', confidence) || ' < 0.50)' || chr(10) || '   Suggestion: Re-extract this field or verify manually' END AS issues FROM f WHERE value IS NULL OR confidence < 0.5""",
+)
+def q_refinement_feedback(spark: SparkSession, d: str) -> DataFrame:
+    return results.refinement_feedback(quality.issues(_status_fields(spark, d))).select("doc_id", "strategy", F.array_join("focus_fields", ",").alias("focus"), "issues")
