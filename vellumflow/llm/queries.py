@@ -46,7 +46,11 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).withColumnRenamed("item", "extraction_id")
 
 
-@registry.add("p4_results")
+@registry.add(
+    "p4_results",
+    """WITH r AS (SELECT DISTINCT * EXCLUDE (chunks_processed, is_chunked) FROM extraction_results), n AS (SELECT extraction_id, coalesce(length(text), 0) AS n FROM text_extractions)
+    SELECT r.*, CAST(CASE WHEN n > 16000 THEN ceil(n / 3000.0) WHEN n > 0 THEN 1 WHEN n = 0 THEN 0 END AS BIGINT) AS chunks_processed, n > 16000 AS is_chunked FROM r LEFT JOIN n USING (extraction_id)""",
+)
 def p4_results(spark: SparkSession, d: str) -> DataFrame:
     options = split.PieceOptions()
     ranges = split.ranges_of_texts(table(spark, d, "text_extractions"), "extraction_id", "text", options)
