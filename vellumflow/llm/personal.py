@@ -30,16 +30,22 @@ LABELS = ("O", *(f"{b}-{t}" for t in TYPES for b in "BI"))
 WINDOW = range(-5, 4)
 PLACEHOLDER = {t: f"[{t.upper()}]" for t in TYPES}
 
-_AT = r"(?:@|＠|ï¼\xa0|ï¼ |Ôº†|∩╝á|´╝á|пј\xa0|´╝\xa0|\s?[(\[{]\s?(?:at|AT|@)\s?[)\]}]\s?|\s(?:AT|at)\s(?=\w+(?:\s(?:DOT|dot)\s|\.|\s?[(\[])))"
+# A sign for "at" as it is written, and as wrong decodings leave the full-width one.
+_AT_WRITTEN = r"@|＠|\s?[(\[{]\s?(?:at|AT|@)\s?[)\]}]\s?|\s(?:AT|at)\s(?=\w+(?:\s(?:DOT|dot)\s|\.|\s?[(\[]))"
+_AT_GARBLED = r"ï¼\xa0|ï¼ |Ôº†|∩╝á|´╝á|пј\xa0|´╝\xa0"
+_GARBLED_SIGN = re.compile("ï¼|Ôº|∩╝|´╝|пј")
 _DOT = r"(?:\.|．|\s?[(\[{]\s?(?:dot|DOT|\.)\s?[)\]}]\s?|\s(?:DOT|dot)\s)"
-_EMAIL = rf"[^\W_](?:[\w+%-]|\.(?=[\w+%-]))*\s?{_AT}\s?[^\W_][\w-]*(?:{_DOT}[^\W\d_][\w-]+)+"
+_HOST = rf"\s?[^\W_][\w-]*(?:{_DOT}[^\W\d_][\w-]+)+"
+_EMAIL = rf"[^\W_](?:[\w+%-]|\.(?=[\w+%-]))*\s?(?:{_AT_WRITTEN}|{_AT_GARBLED}){_HOST}"
+#: The same for texts without a garbled sign: what stands before a written one is never given back.
+_EMAIL_WRITTEN = rf"[^\W_](?:[\w+%-]|\.(?=[\w+%-]))*+\s?(?:{_AT_WRITTEN}){_HOST}"
 _WORDCHAR = r"[^\s\x00-\x2f0-9\x3a-\x40\x5b-\x60\x7b-\x7f“”«»¿¡…–—•]"
-_TOKEN = re.compile(
-    rf"(?P<E>{_EMAIL})"
+_OTHER_TOKENS = (
     r"|(?P<N>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,8}(?: ?[A-Z0-9]{1,3})?\b|\b[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]\b|\b[A-Z]{1,3}\d+(?: \d{4})?[A-Z]?\b"
     r"|(?:\+ ?\d+|\(\d{1,5}\)|\d+)(?:[ \-–./\xa0]?(?:\(\d+\)|\d+))*[A-Za-z]?(?![\w]))"
     rf"|(?P<I>\b[^\W\d_a-zà-ÿ]\.(?=[\s]|[^\W\d_]))|(?P<W>(?:{_WORDCHAR})+(?:['’.\-¡¿«»„“”…–—‹›](?:{_WORDCHAR})+)*)|(?P<L>\n)|(?P<P>\S)"
 )
+_TOKEN, _TOKEN_WRITTEN = (re.compile(rf"(?P<E>{e}){_OTHER_TOKENS}") for e in (_EMAIL, _EMAIL_WRITTEN))
 
 # Small word lists; each is a feature, none decides by itself.
 _LISTS = {
@@ -64,7 +70,7 @@ for _list, _words in _LISTS.items():
 
 def tokenize(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of tokens."""
-    return [(m.start(), m.end(), m.lastgroup) for m in _TOKEN.finditer(text)]
+    return [(m.start(), m.end(), m.lastgroup) for m in (_TOKEN if _GARBLED_SIGN.search(text) else _TOKEN_WRITTEN).finditer(text)]
 
 
 def _shape(word: str) -> str:
